@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, classifier, minhash, mixing, pii, quality_rules
+from . import bpe, chat, classifier, embedding, minhash, mixing, pii, ppm, quality_rules, runindex
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_pairs(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_ppm_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.code_length(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +56,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_repeated_passages": op2_repeated_passages,
+        "op3_embedding_near_dedup": op3_embedding_near_dedup,
+        "op4_ppm_code_length": op4_ppm_code_length,
         "op5_bpe_tokens": op5_bpe_tokens,
         "op6_source_mixture": op6_source_mixture,
         "op7_quality_classifier": op7_quality_classifier,
@@ -55,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_embedding_near_dedup": embedding.SQL,
         "op6_source_mixture": mixing.mix_sql(),
         "op8_chat_format": chat.SQL,
         "op10_quality_rules": quality_rules.report_sql(),
