@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .values import clip, has, min_max, number
 
@@ -21,7 +22,10 @@ def with_statistics(df: DataFrame, **statistics: Column) -> DataFrame:
 
 def feature(df: DataFrame, name: str, default: float = 0.0) -> Column:
     """A loose number, the default where it is missing or the table lacks the column."""
-    return F.coalesce(number(F.col(f"`{name}`")), F.lit(float(default))) if has(df, name) else F.lit(float(default))
+    if not has(df, name):
+        return F.lit(float(default))
+    c = F.col(f"`{name}`")
+    return F.coalesce(c.cast("double") if isinstance(df.schema[name].dataType, NumericType) else number(c), F.lit(float(default)))
 
 
 # --- scaling -----------------------------------------------------------------

@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DASH = "-–—"
 EDGE = f" {DASH}|:;,."
@@ -100,14 +101,15 @@ def too_short(clean: Column) -> Column:
     return F.length(clean) < 2
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(c: pd.Series) -> pd.Series:
     return c.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
 
 
 def folded(c: Column) -> Column:
-    """Compatibility-normalised and case-folded; texts of ASCII alone stay on the JVM's side."""
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), F.lower(c)).otherwise(_folded(c))
+    """Compatibility-normalised and case-folded; a text of ASCII alone goes to Python as a null only."""
+    plain = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, F.lower(c)).otherwise(_folded(F.when(~plain, c)))
 
 
 def match_text(c: Column, fold=folded) -> Column:

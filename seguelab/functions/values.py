@@ -76,8 +76,17 @@ def trim_headers(df: DataFrame) -> DataFrame:
 
 
 def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """Within the bounds; null stays null."""
-    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high))))
+    """Within the bounds; for values that aren't null, so that nested ones stay small expressions."""
+    return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
+
+
+def clip_or_null(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    return F.when(c.isNotNull(), clip(c, low, high))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def min_max(c: Column, low: float, high: float) -> Column:
@@ -134,9 +143,10 @@ def weighted_mean(parts: Mapping[str, Column | None], weights: Mapping[str, floa
 
 
 def human_bytes(c: Column) -> Column:
-    """Bytes with a unit, one decimal from a kilobyte on."""
+    """Bytes with a unit and one decimal; below zero counts as zero."""
+    c = F.greatest(c, F.lit(0)).cast("double")
     out, units = None, ("KB", "MB", "GB", "TB")
     for k in range(len(units), 0, -1):
-        test, shown = c >= F.lit(1024.0**k), F.format_string(f"%.1f {units[k - 1]}", c / F.lit(1024.0**k))
+        test, shown = c >= F.lit(1024.0**k), F.format_string(f"%.1f {units[k - 1]}", F.bround(c / F.lit(1024.0**k), 1))
         out = F.when(test, shown) if out is None else out.when(test, shown)
-    return out.otherwise(F.concat(c.cast("long").cast("string"), F.lit(" B")))
+    return out.otherwise(F.format_string("%.1f B", c))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.features import add_log_tempo, add_moods, add_robust, feature
 from ..functions.text import genre_text
-from ..functions.values import clip, has, min_max, number
+from ..functions.values import clip, has, let, min_max
+from ..session import materialize
 
 CONFIDENT = 0.55
 UNKNOWN = "unknown"
@@ -52,10 +53,10 @@ STYLE_FEATURES = "danceability energy speechiness acousticness liveness valence
 RESOLVED = ("style_cluster", "genre_primary", "genre_confidence", "genre_source", "mix_group")
 
 
-def _best_two(scores: Sequence[tuple[str, Column]]) -> tuple[Column, Column, Column]:
-    """The best name, its score and the second score; of equals the earlier in the list."""
+def _best_two(scores: Sequence[tuple[str, Column]], use) -> Column:
+    """``use`` of the best name, its score and the second score; of equals the earlier in the list."""
     rows = F.array_sort(F.array(*(F.struct((-c).alias("s"), F.lit(k).alias("k"), F.lit(n).alias("n")) for k, (n, c) in enumerate(scores))))
-    return rows[0]["n"], -rows[0]["s"], -rows[1]["s"]
+    return let(rows, lambda r: use(r[0]["n"], -r[0]["s"], -r[1]["s"]))
 
 
 def keyword_scores(text: Column) -> list[tuple[str, Column]]:
@@ -67,9 +68,12 @@ def keyword_scores(text: Column) -> list[tuple[str, Column]]:
 
 def keyword_genre(c: Column) -> Column:
     """struct(genre, confidence) of a text; unknown and 0 where no keyword is in it."""
-    name, best, second = _best_two(keyword_scores(genre_text(c)))
-    found = clip(F.lit(0.60) + F.lit(0.12) * best + F.lit(0.08) * (best - second), 0, 0.98)
-    return F.when(best > 0, F.struct(name.alias("genre"), found.alias("confidence"))).otherwise(F.struct(F.lit(UNKNOWN).alias("genre"), F.lit(0.0).alias("confidence")))
+
+    def pick(name: Column, best: Column, second: Column) -> Column:
+        found = clip(F.lit(0.60) + F.lit(0.12) * best + F.lit(0.08) * (best - second), 0, 0.98)
+        return F.when(best > 0, F.struct(name.alias("genre"), found.alias("confidence"))).otherwise(F.struct(F.lit(UNKNOWN).alias("genre"), F.lit(0.0).alias("confidence")))
+
+    return let(genre_text(c), lambda text: _best_two(keyword_scores(text), pick))
 
 
 def add_field_votes(df: DataFrame, out: str = "vote") -> DataFrame:
@@ -91,13 +95,12 @@ def add_field_votes(df: DataFrame, out: str = "vote") -> DataFrame:
 
 def nearest_prototype(df: DataFrame) -> Column:
     """struct(genre, confidence) of the prototype with the least mean difference over the nine features."""
-    value = {n: min_max(number(F.col("tempo")) if has(df, "tempo") else F.lit(0.0), 60, 180) if n == "tempo_norm" else feature(df, n) for n in PROTOTYPE_FEATURES}
+    value = {n: min_max(feature(df, "tempo"), 60, 180) if n == "tempo_norm" else feature(df, n) for n in PROTOTYPE_FEATURES}
     scores = []
     for g, p in PROTOTYPES.items():
         total = sum((F.abs(value[n] - F.lit(x)) for n, x in zip(PROTOTYPE_FEATURES, p, strict=True)), F.lit(0.0))
         scores.append((g, F.exp(-total / F.lit(float(len(p))))))
-    name, best, second = _best_two(scores)
-    return F.struct(name.alias("genre"), clip(F.lit(0.30) + F.lit(0.45) * best + F.lit(0.35) * (best - second), 0, 0.90).alias("confidence"))
+    return _best_two(scores, lambda name, best, second: F.struct(name.alias("genre"), clip(F.lit(0.30) + F.lit(0.45) * best + F.lit(0.35) * (best - second), 0, 0.90).alias("confidence")))
 
 
 def add_style_clusters(df: DataFrame, clusters: int = 8, seed: int = 42, index: str = "track_idx") -> DataFrame:
@@ -123,10 +126,10 @@ def resolve_genres(df: DataFrame, genre_column: str | None = None, clusters: int
     nearest prototype.  Below the confidence bound the genre is unknown and the
     mix group is the style cluster.
     """
-    wide = add_style_clusters(add_moods(df), clusters)
+    wide = materialize(add_style_clusters(materialize(add_moods(df), "moods"), clusters), "clusters")
     explicit = list(dict.fromkeys(c for c in (genre_column, "genre", "genres") if c and has(df, c)))
     wide = wide.withColumns({f"_x{k}": keyword_genre(F.col(f"`{c}`").cast("string")) for k, c in enumerate(explicit)})
-    wide = add_field_votes(wide, "_vote").withColumn("_near", nearest_prototype(wide))
+    wide = materialize(add_field_votes(wide, "_vote").withColumn("_near", nearest_prototype(wide)), "genres")
     genre, confidence, source = F.col("_near.genre"), F.col("_near.confidence"), F.lit("audio_heuristic")
     steps = [("_vote", F.col("_vote.confidence"), "metadata_heuristic")] + [(f"_x{k}", F.least(F.lit(1.0), F.greatest(F.col(f"_x{k}.confidence"), F.lit(0.92))), "input_column") for k in reversed(range(len(explicit)))]
     for name, sure, label in steps:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import MOODS, add_adaptive, add_moods, feature, key_code, key_similarity
 from ..functions.values import clip, has, weighted_mean
+from ..session import materialize
 
 TIMBRE = ("acousticness", "harmonic_ratio", *(f"mfcc{k}" for k in range(1, 6)), "spectral_bandwidth", "spectral_centroid", "spectral_rolloff")
 GROOVE = ("danceability", "energy", "loudness", "onset_strength", "tempo")
@@ -78,7 +79,7 @@ def structure(l: str = "l", r: str = "r") -> Column:  # noqa: E741
 
 def prepare(df: DataFrame, index: str = "track_idx") -> tuple[DataFrame, dict[str, object]]:
     """One narrow row for each track with all that its pairs need, and the components that are there."""
-    df = add_moods(df)
+    df = materialize(add_moods(df), "moods")
     names = {"timbre": aligned(df, TIMBRE), "groove": aligned(df, GROOVE), "sentiment": aligned(df, MOODS)}
     has_flow = all(has(df, c) for c in HANDOFF)
     has_structure = all(has(df, f"outro_{e}") and has(df, f"intro_{b}") for e, b in STRUCTURE)
@@ -96,7 +97,7 @@ def prepare(df: DataFrame, index: str = "track_idx") -> tuple[DataFrame, dict[st
         *(F.col(k) for k in adaptive),
         *(F.col(f"{s}_{n}") for n in every for s in "eb"),
     )
-    return slim, {"edge_flow": has_flow, "structure": has_structure, **names}
+    return materialize(slim, "tracks"), {"edge_flow": has_flow, "structure": has_structure, **names}
 
 
 def cross(slim: DataFrame, most: int = BROADCAST_TRACKS) -> DataFrame:

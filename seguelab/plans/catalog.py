@@ -1,21 +1,17 @@
-"""The registered queries over the driver's tables, each with equivalent SQL."""
+"""The registered queries over the driver's tables, each with equivalent SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def _transition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return turns.groupBy("role").agg(F.count("*").alias("n"))
+from . import lists, records, scores, texts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"transition_summary": _transition_summary}
+    return {name: query for module in (records, scores, lists, texts) for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"transition_summary": "select role, count(*) as n from conversations group by role"}
+    return {name: sql() if callable(sql) else sql for module in (records, scores, lists, texts) for name, (_, sql) in module.QUERIES.items() if sql}

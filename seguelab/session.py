@@ -2,14 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN_DIR: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured.rstrip("/")
+    if not _OWN_DIR:
+        _OWN_DIR.append(tempfile.mkdtemp(prefix="seguelab-"))
+    return "file://" + _OWN_DIR[0]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session or its gateway has already ended
+        pass
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it back; it is deleted when the driver ends."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, df.sparkSession, path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
