@@ -29,29 +29,60 @@ THRESHOLDS: tuple[tuple[str, str, float | None, float | None, int], ...] = (
     ("ellipses", "ellipsis_line_ratio", None, 0.3, 10),
 )
 
-_SPACE = "[ \\t\\n\\r]+"
 _SYMBOL_CLASS = "[" + "".join("\\" + c for c in SYMBOLS) + "]"
 METRICS = ("n_words", "mean_word_length", "symbol_ratio", "alpha_word_ratio", "upper_word_ratio", "stop_word_ratio", "repeat_ratio", "repeated_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio")
 
 
-def _metrics(text: Column, w: Column, lines: Column) -> dict[str, Column]:
-    n, chars, n_lines = F.size(w), F.length(text), F.size(lines)
+def _one_of(words: tuple[str, ...]) -> str:
+    """A regular expression of the words as a tree of their letters, the longer ones first."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def build(node: dict) -> str:
+        rest = [c + build(x) for c, x in sorted(node.items()) if c]
+        return ("(?:" + "|".join(rest) + ")" + ("?" if "" in node else "")) if rest else ""
+
+    return build(tree)
+
+
+#: Whole words in one pass over a text: nothing but spaces or an end on both sides.
+_START, _STOP, _CHARACTER = "(?<![^ \\t\\n\\r])", "(?![^ \\t\\n\\r])", "[^ \\t\\n\\r]"
+_STOP_WORD = f"{_START}{_one_of(tuple(sorted(set(STOP_WORDS))))}[.,;:!?]*+{_STOP}"
+_REPEATED = f"{_START}({_CHARACTER}++)(?=[ \\t\\n\\r]++\\1{_STOP})"
+_NO_SMALL = f"{_START}[^ \\t\\n\\ra-z]++{_STOP}"
+
+
+def _metrics(p: Column) -> dict[str, Column]:
+    """Of a struct of the text ``t``, its filled lines ``l`` and its number of words ``n``."""
+    text, lines, n = p["t"], p["l"], p["n"]
+    chars, n_lines = F.length(text), F.size(lines)
     share = lambda count, whole: F.when(whole > 0, F.round(count.cast("double") / whole, 6)).otherwise(F.lit(0.0))
     count = lambda array, test: F.size(F.filter(array, test))
+    found = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    shouted = F.regexp_extract_all(text, F.lit(_NO_SMALL), F.lit(0))
     return {
         "n_words": n.cast("long"),
-        "mean_word_length": share(F.length(F.array_join(w, "")), n),
-        "symbol_ratio": share(F.regexp_count(text, F.lit(_SYMBOL_CLASS)), chars),
-        "alpha_word_ratio": share(count(w, lambda x: x.rlike("\\p{L}")), n),
-        "upper_word_ratio": share(count(w, lambda x: (x == F.upper(x)) & (x != F.lower(x))), n),
-        "stop_word_ratio": share(count(w, lambda x: F.rtrim(F.lower(x), F.lit(".,;:!?")).isin(*sorted(set(STOP_WORDS)))), n),
-        "repeat_ratio": share(count(F.zip_with(w, F.slice(w, 2, F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda x: x), n),
+        "mean_word_length": share(chars - F.length(F.regexp_replace(text, "[^ \\t\\n\\r]++", "")), n),
+        "symbol_ratio": share(found(_SYMBOL_CLASS), chars),
+        "alpha_word_ratio": share(found(f"\\p{{L}}{_CHARACTER}*+"), n),
+        "upper_word_ratio": share(count(shouted, lambda x: (x == F.upper(x)) & (x != F.lower(x))), n),
+        "stop_word_ratio": share(F.regexp_count(F.lower(text), F.lit(_STOP_WORD)), n),
+        "repeat_ratio": share(found(_REPEATED), n),
         "repeated_line_ratio": share(n_lines - F.size(F.array_distinct(lines)), n_lines),
         "bullet_line_ratio": share(count(lines, lambda x: x.startswith("-") | x.startswith("*") | x.startswith("•")), n_lines),
         "ellipsis_line_ratio": share(count(lines, lambda x: x.endswith("...") | x.endswith("…")), n_lines),
     }
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: neither a filter nor a merged projection computes it again."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _rule(metric: Column, n_words: Column, least: float | None, most: float | None, from_words: int) -> Column:
     """Whether a document breaks the rule."""
     broken = F.lit(False)
@@ -64,16 +95,14 @@ def _rule(metric: Column, n_words: Column, least: float | None, most: float | No
 
 def measured(docs: DataFrame, text_col: str, thresholds=THRESHOLDS) -> tuple[DataFrame, str]:
     """``docs`` with a struct of the metrics, the broken rules and the verdict, and the struct's name."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    parts, metrics, out = (free_name(docs, x) for x in ("parts", "metrics", "quality"))
-    full = lambda array: F.filter(array, lambda x: x != "")
-    split = docs.withColumn(parts, F.struct(text.alias("t"), full(F.split(text, _SPACE)).alias("w"), full(F.split(text, "\n")).alias("l")))
-    p = lambda k: F.col(f"`{parts}`.{k}")
-    found = split.withColumn(metrics, F.struct(*(c.alias(k) for k, c in _metrics(p("t"), p("w"), p("l")).items()))).drop(parts)
-    m = lambda k: F.col(f"`{metrics}`.{k}")
-    broken = F.array_compact(F.array(*(F.when(_rule(m(k), m("n_words"), lo, hi, n), F.lit(rule)) for rule, k, lo, hi, n in thresholds)))
-    judged = found.withColumn(out, F.struct(*(m(k).alias(k) for k in METRICS), F.array_join(broken, ",").alias("broken"))).drop(metrics)
-    return judged, out
+    text, out = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), free_name(docs, "quality")
+    parts = F.struct(text.alias("t"), F.filter(F.split(text, "\n"), lambda x: x != "").alias("l"), F.regexp_count(text, F.lit(_CHARACTER + "++")).alias("n"))
+
+    def judge(m: Column) -> Column:
+        broken = F.array_compact(F.array(*(F.when(_rule(m[k], m["n_words"], lo, hi, n), F.lit(rule)) for rule, k, lo, hi, n in thresholds)))
+        return F.struct(*(m[k].alias(k) for k in METRICS), F.array_join(broken, ",").alias("broken"))
+
+    return docs.withColumn(out, _let(parts, lambda p: _let(F.struct(*(c.alias(k) for k, c in _metrics(p).items())), judge))), out
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
