@@ -185,7 +185,10 @@ _DOT = _hashes([b"dot"])[0]
 _DIGITS = _hashes([v.encode() for w in DIGIT_WORDS for v in {w, w.upper(), w.capitalize()}])
 _DIGIT_FLAG, _AT_FLAG = (np.isin(np.arange(256), list(x)) for x in (b"0123456789", b"@"))
 _SETTER = np.isin(np.arange(256), list(b"=:"))
-_LEADS = np.isin(np.arange(256), [0xC2, *range(0xC9, 0xD6), 0xD9, 0xDB, 0xE0, 0xE2, 0xE3, 0xEF])
+#: First bytes of the look-alikes, of the invisible characters and spaces, and of all other scripts' digits.
+_LEADS = np.isin(np.arange(256), [0xC2, *range(0xC9, 0xD6), 0xD9, 0xDB, 0xDF, 0xE0, 0xE1, 0xE2, 0xE3, 0xEA, 0xEF, 0xF0])
+#: The keys' prefixes, and _BRACKETED in bytes (its invisible characters are among _LEADS).
+_MARKS = re.compile(rb"gh[pousr]_|sk-|AKIA|[\(\[\{<][ \t]{0,2}(?i:at|@|dot|\.)[ \t]{0,2}[\)\]\}>]")
 
 
 def _has(flag: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -197,8 +200,8 @@ def may_hold(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """For each text whether any detector could find anything.  A text without what this looks for has nothing.
 
     Every find needs a digit, an at sign, an assignment sign, a look-alike, the
-    word dot, two spelled digits or a key's prefix; the last has a digit or is
-    caught by its underscore or hyphen after the prefix.
+    word dot, two spelled digits, a bracketed at or dot sign or a key's prefix.
+    A text's verdict depends on nothing but the text.
     """
     out = _has((_DIGIT_FLAG | _AT_FLAG | _SETTER | _LEADS)[buf], off)
     h, _, _, first = words(buf, off)
@@ -210,10 +213,8 @@ def may_hold(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         pair[:-1] = digit[:-1] & digit[1:]
     out |= _has(word | pair, first)
     raw = buf.tobytes()
-    if b"_" in raw or b"sk-" in raw or b"AKIA" in raw or b"(at" in raw or b"[at" in raw:
-        for k in np.flatnonzero(~out):
-            if re.search(rb"gh[pousr]_|sk-|AKIA|[\(\[\{<][ \t]{0,2}(?:at|AT|At)[ \t]{0,2}[\)\]\}>]", raw[off[k] : off[k + 1]]):
-                out[k] = True
+    for k in np.flatnonzero(~out):
+        out[k] = _MARKS.search(raw, off[k], off[k + 1]) is not None
     return out
 
 
