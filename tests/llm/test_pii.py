@@ -39,3 +39,12 @@ def test_bracketed_signs_in_tables(spark):
             spans = pii.find_spans(t)
             assert got[k].text == pii.redact(t, spans) and [(s.start, s.end, s.kind) for s in got[k].spans] == spans
             assert t not in BRACKETED or "[EMAIL]" in got[k].text
+
+
+TEN, SEVEN = "five five five oh one two three four five six", "five five five one two three four"
+CARD = "four one one one one one one one one one one one one one one one"
+
+
+@pytest.mark.parametrize("numbers", [f"{TEN}, {TEN}", f"{TEN}\n{TEN}", f"{SEVEN}, {SEVEN}, {SEVEN}", f"{CARD} - one two three four", ", ".join([CARD] * 5)])
+def test_adjacent_spelled_numbers_go_whole(numbers):
+    assert scanned([f"call {numbers} please"]) == ["call [PHONE] please"]
