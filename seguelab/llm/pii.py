@@ -118,8 +118,8 @@ _NUMBERS = re.compile(
     r"|(?P<account>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))"
 )
 _SPELLED_NUMBER = re.compile(r"(?<!\w)\d{7,}(?!\w)")  # no upper bound: spelled numbers after one another are one run
-_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:api[_ -]?key|access[_ -]?key|secret|token|passwd|password|key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.=-]{8,512})", re.I)
-_KEYS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,200})(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:api[_ -]?key|access[_ -]?key|secret|token|passwd|password|key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.=-]{8,})", re.I)
+_KEYS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:

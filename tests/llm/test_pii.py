@@ -48,3 +48,13 @@ CARD = "four one one one one one one one one one one one one one one one"
 @pytest.mark.parametrize("numbers", [f"{TEN}, {TEN}", f"{TEN}\n{TEN}", f"{SEVEN}, {SEVEN}, {SEVEN}", f"{CARD} - one two three four", ", ".join([CARD] * 5)])
 def test_adjacent_spelled_numbers_go_whole(numbers):
     assert scanned([f"call {numbers} please"]) == ["call [PHONE] please"]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("token = " + "eyJhbGci.0aZ_-/+" * 300 + " end", "token = [SECRET] end"),
+    ("password: " + "a1" * 257 + "\nend", "password: [SECRET]\nend"),
+    ("see sk-" + "a1B2-_" * 500 + " end", "see [SECRET] end"),
+    ("see ghp_" + "a1B2" * 500 + " end", "see [SECRET] end"),
+])
+def test_long_secrets_leave_no_tail(text, want):
+    assert scanned([text]) == [want]
