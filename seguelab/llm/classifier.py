@@ -1,4 +1,4 @@
-"""A quality classifier without labels: heuristic labellers, expectation-maximisation over their votes, a hashed linear scorer."""
+"""A quality and toxicity classifier without labels: heuristic labellers, expectation-maximisation over their votes, hashed linear scorers."""
 
 from __future__ import annotations
 
@@ -23,6 +23,16 @@ SIGNALS = (
 )
 #: Overlapping labellers, by their signals' places: bad where any signal is bad, good where all are good, else no vote.
 LABELLERS = (("marks", (0, 1)), ("words", (4, 2)), ("noise", (0, 2)), ("tone", (1, 5)), ("typing", (1, 2, 3)), ("tables", (0, 4, 5)))
+#: Words of abuse by kind, in the four languages: of persons, of contempt, swearing, of hate.
+LEXICON = (
+    "idiot idiots moron morons loser losers clown clowns imbecile imbeciles dimwit dumbass jerk halfwit trottel vollidiot schwachkopf dummkopf versager crétin abruti débile imbécile imbéciles imbécil tarado payaso idiota idiotas",
+    "pathetic worthless disgusting stupid scum trash filth vermin despicable erbärmlich wertlos widerlich abschaum ekelhaft minable pathétique dégoûtant ordure racaille stupide patético despreciable asqueroso escoria estúpido estúpida",
+    "fuck fucking fucker shit bullshit bitch bastard asshole arschloch scheiße scheisse wichser hurensohn merde putain connard salaud enculé mierda puta cabrón gilipollas joder",
+    "subhuman untermensch hate despise loathe kys verrecke crève déteste odio muérete",
+)
+#: Overlapping labellers of toxicity, by their kinds of words: bad from two hits and this share of the words, good without a hit, else no vote.
+TOXIC_LABELLERS = (("persons", (0, 1)), ("contempt", (1, 2)), ("swearing", (2, 3)), ("hate", (0, 3)), ("any", (0, 1, 2, 3)))
+TOXIC_HITS, TOXIC_SHARE = 2, 0.002
 GOOD, BAD = 1, 2
 #: Documents that the scorer is trained on, those of the least hashes.
 TRAINING_DOCUMENTS = 6_000
@@ -47,6 +57,16 @@ def _stop_hashes() -> np.ndarray:
 _STOP = _stop_hashes()
 
 
+def _lexicon_hashes(listed: str) -> np.ndarray:
+    """Of each word also in capitals, as only ASCII letters' case is ignored."""
+    joined = " ".join(x for w in listed.split() for x in (w, w.upper())).encode()
+    buf = np.frombuffer(joined, np.uint8)
+    return np.unique(words(buf, np.array([0, len(buf)]))[0])
+
+
+_ABUSE = tuple(map(_lexicon_hashes, LEXICON))
+
+
 def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[off[1:]] - total[off[:-1]]
@@ -99,14 +119,31 @@ def votes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-_BASE3 = 3 ** np.arange(len(LABELLERS))
+def toxic_votes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """int8[texts, labellers of toxicity] of 0 (abstains), GOOD and BAD; a text without words gets no votes."""
+    h, _, _, first = words(buf, off)
+    n = np.diff(first)
+    hits = [_sums(np.isin(h, kind), first) for kind in _ABUSE]
+    out = np.zeros((len(n), len(TOXIC_LABELLERS)), np.int8)
+    for k, (_, places) in enumerate(TOXIC_LABELLERS):
+        own = sum(hits[j] for j in places)
+        out[:, k] = np.where((own >= TOXIC_HITS) & (own >= TOXIC_SHARE * n), BAD, np.where(own == 0, GOOD, 0))
+    out[n == 0] = 0
+    return out
+
+
+_BASE3 = 3 ** np.arange(max(len(LABELLERS), len(TOXIC_LABELLERS)))
+
+
+def _decoded(codes: np.ndarray, labellers: tuple) -> np.ndarray:
+    return (codes[:, None] // _BASE3[: len(labellers)]) % 3
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, buf, off in text_slices(batch.column(1)):
-            pattern = votes(buf, off)[0] @ _BASE3
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(pattern.astype(np.int64))], names=["id", "pattern"])
+            pattern, toxic = votes(buf, off)[0] @ _BASE3[: len(LABELLERS)], toxic_votes(buf, off) @ _BASE3[: len(TOXIC_LABELLERS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(pattern.astype(np.int64)), pa.array(toxic.astype(np.int64))], names=["id", "pattern", "toxic"])
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -162,6 +199,23 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def word_roots(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed words of each text, each once, as texts' rows, places and square roots of their shares, by which few words count in a long text."""
+    h, _, _, first = words(buf, off)
+    place = (mix(h + np.uint64(1)) >> np.uint64(64 - DIMENSIONS.bit_length() + 1)).astype(np.int64)
+    flat, count = np.unique(rows_of(first) * DIMENSIONS + place, return_counts=True)
+    row = flat // DIMENSIONS
+    return row, flat % DIMENSIONS, np.sqrt(count / np.diff(first)[row]).astype(np.float32)
+
+
+def _featurise_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, buf, off in text_slices(batch.column(1)):
+            row, place, value = word_roots(buf, off)
+            ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(ends, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value))], names=["id", "places", "shares"])
+
+
 def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic model on soft targets (full-batch Adam)."""
     w = np.zeros(DIMENSIONS + 1)
@@ -175,57 +229,80 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, target: np.ndarra
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAINING_DOCUMENTS) -> tuple[np.ndarray, float]:
-    """The scorer's weights and intercept.
-
-    All documents vote; their patterns (at most three to the number of labellers)
-    are counted in Spark, and the accuracies are estimated from the counts.  The
-    scorer learns the posterior labels of the ``most`` documents whose ids have
-    the least hashes.  A table without tokens gives a scorer of zeros.
-    """
-    rows = keyed_text(docs, id_col, text_col)
-    voted = materialize(rows.mapInArrow(_vote, "id long, pattern long").filter("pattern > 0"), "votes")
-    found = voted.groupBy("pattern").count().orderBy("pattern").toPandas()
-    if found.empty:
-        return np.zeros(DIMENSIONS, np.float32), 0.0
-    codes = found["pattern"].to_numpy()
-    posterior, _, _ = estimate((codes[:, None] // _BASE3) % 3, found["count"].to_numpy().astype(float))
-    label = dict(zip(codes.tolist(), posterior.tolist(), strict=True))
-    chosen = voted.filter("id is not null").orderBy(F.xxhash64("id"), "id", "pattern").limit(most).dropDuplicates(["id"])
-    sample = rows.join(F.broadcast(chosen), "id").select("id", "text", "pattern")
-    table = sample.select("id", "text").mapInArrow(_featurise, "id long, places array<int>, shares array<float>").join(F.broadcast(chosen), "id").toArrow()
+def _learn(rows: DataFrame, chosen: DataFrame, featurise, label: dict[int, float]) -> tuple[np.ndarray, float]:
+    """A scorer fitted to the labels of the chosen documents' patterns."""
+    sample = rows.join(F.broadcast(chosen), "id").select("id", "text")
+    table = sample.mapInArrow(featurise, "id long, places array<int>, shares array<float>").join(F.broadcast(chosen), "id").toArrow()
     places, shares = (table.column(k).combine_chunks() for k in ("places", "shares"))
     size = np.diff(places.offsets.to_numpy())
     target = np.array([label[p] for p in table.column("pattern").to_pylist()])
     return fit(np.repeat(np.arange(len(target)), size), places.flatten().to_numpy(), shares.flatten().to_numpy().astype(float), target)
 
 
-def score_documents(docs: DataFrame, weights: np.ndarray, intercept: float, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """(doc_id, score, keep) for every row: the scorer's probability of good quality, and whether it is at least ``least``."""
-    shared = docs.sparkSession.sparkContext.broadcast((weights, intercept))
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAINING_DOCUMENTS) -> tuple[tuple[np.ndarray, float], tuple[np.ndarray, float]]:
+    """Weights and intercept of the scorer of good quality, and of the one of toxicity.
+
+    All documents vote; their patterns (at most three to the number of labellers)
+    are counted in Spark, and the accuracies are estimated from the counts.  A
+    scorer learns the posterior labels of the ``most`` documents whose ids have
+    the least hashes; that of toxicity also learns those of up to a quarter as
+    many that a labeller calls toxic, as these are rare.  A table without tokens
+    gives a quality scorer of zeros; one without a toxic vote calls nothing toxic.
+    """
+    rows = keyed_text(docs, id_col, text_col)
+    both = materialize(rows.mapInArrow(_vote, "id long, pattern long, toxic long").filter("pattern > 0 or toxic > 0"), "votes")
+    least = lambda df, n: df.orderBy(F.xxhash64("id"), "id", "pattern").limit(n).dropDuplicates(["id"])
+
+    def labels(voted: DataFrame, labellers: tuple) -> tuple[np.ndarray, dict[int, float]]:
+        found = voted.groupBy("pattern").count().orderBy("pattern").toPandas()
+        codes = found["pattern"].to_numpy()
+        posterior = estimate(_decoded(codes, labellers), found["count"].to_numpy().astype(float))[0] if len(codes) else []
+        return codes, dict(zip(codes.tolist(), map(float, posterior), strict=True))
+
+    voted = both.filter("pattern > 0").select("id", "pattern")
+    _, good = labels(voted, LABELLERS)
+    quality = _learn(rows, least(voted.filter("id is not null"), most), _featurise, good) if good else (np.zeros(DIMENSIONS, np.float32), 0.0)
+    voted = both.filter("toxic > 0").select("id", F.col("toxic").alias("pattern"))
+    codes, clean = labels(voted, TOXIC_LABELLERS)
+    bad = codes[(_decoded(codes, TOXIC_LABELLERS) == BAD).any(axis=1)].tolist() if clean else []
+    if not bad:
+        return quality, (np.zeros(DIMENSIONS, np.float32), -50.0)
+    named = voted.filter("id is not null")
+    chosen = least(named, most).union(least(named.filter(F.col("pattern").isin(bad)), most // 4)).dropDuplicates(["id"])
+    return quality, _learn(rows, chosen, _featurise_words, {p: 1 - x for p, x in clean.items()})
+
+
+def _probability(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, np.round(1 / (1 + np.exp(-np.clip(z, -50, 50))), 6), 0.0)
+
+
+def score_documents(docs: DataFrame, quality: tuple[np.ndarray, float], toxicity: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """(doc_id, score, keep, toxicity, toxic) for every row: the probabilities of good quality and of toxicity; toxic is whether the latter is at least ``least``, keep whether the former is and the text isn't toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast((*quality, *toxicity))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = shared.value
+        w, b, v, c = shared.value
         for batch in batches:
             for lo, hi, buf, off in text_slices(batch.column(1)):
                 f, first = features(buf, off)
                 total = np.concatenate([[0], np.cumsum(w[f].sum(axis=1, dtype=np.float64))])
                 n = np.diff(first)
-                z = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1) + b
-                p = np.where(n > 0, np.round(1 / (1 + np.exp(-np.clip(z, -50, 50))), 6), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p), pa.array(p >= least)], names=["doc_id", "score", "keep"])
+                p = _probability((total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1) + b, n)
+                row, place, value = word_roots(buf, off)
+                t = _probability(np.bincount(row, v[place].astype(np.float64) * value, minlength=hi - lo) + c, n)
+                toxic = t >= least
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p), pa.array((p >= least) & ~toxic), pa.array(t), pa.array(toxic)], names=["doc_id", "score", "keep", "toxicity", "toxic"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, keep boolean")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, keep boolean, toxicity double, toxic boolean")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """(doc_id, score, keep) of every row, by a scorer trained on the same documents.
+    """(doc_id, score, keep, toxicity, toxic) of every row, by scorers trained on the same documents.
 
-    A null, empty or blank text has score 0 and isn't kept; it has no part in the
-    training, nor have null ids, but these are scored.  Repeated rows vote as
+    A null, empty or blank text has scores of 0 and isn't kept; it has no part in
+    the training, nor have null ids, but these are scored.  Repeated rows vote as
     often as they occur and are scored alike.  A very long text is read whole.
     An empty table gives an empty result; other columns are ignored.
     """
-    weights, intercept = train(docs, id_col, text_col, most)
-    return score_documents(docs, weights, intercept, id_col, text_col)
+    return score_documents(docs, *train(docs, id_col, text_col, most), id_col, text_col)
