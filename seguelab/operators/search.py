@@ -62,9 +62,9 @@ def beam(tracks: Mapping[int, Mapping], edges: Mapping[int, Sequence[tuple[int,
     for step in range(1, size):
         found = []
         for total, path, mixes, artists, genres in states:
-            last, left = tracks[path[-1]], candidates
+            last, left, taken = tracks[path[-1]], candidates, set(path)
             for to, score in edges.get(path[-1], ()):
-                if to in path:
+                if to in taken:
                     continue
                 if not left:
                     break
@@ -80,8 +80,8 @@ def beam(tracks: Mapping[int, Mapping], edges: Mapping[int, Sequence[tuple[int,
     return list(max(states, key=lambda s: s[0])[1]) if size else []
 
 
-def beam_lists(tracks: DataFrame, edges: DataFrame, size: int, width: int = 8, candidates: int = 25, usage: Mapping[str, int] | None = None) -> DataFrame:
-    """(pool, position, track_idx): the best list of each pool, one task for each.
+def beam_lists(tracks: DataFrame, edges: DataFrame, size: int | None, width: int = 8, candidates: int = 25, usage: Mapping[str, int] | None = None) -> DataFrame:
+    """(pool, position, track_idx): the best list of each pool, one task for each; without a size a pool is ordered whole.
 
     ``tracks``: pool, track_idx, artist, mix, genre; ``edges``: pool, from_idx, to_idx,
     score with the diagonal.  A track's quality is the mean and three quarters of
@@ -90,7 +90,9 @@ def beam_lists(tracks: DataFrame, edges: DataFrame, size: int, width: int = 8, c
     """
     quality = edges.groupBy("pool", F.col("from_idx").alias("track_idx")).agg((F.avg("score") + F.lit(0.75) * F.max("score")).alias("quality"))
     order = Window.partitionBy("pool", "from_idx").orderBy(F.desc("score"), "to_idx")
-    best = edges.filter("from_idx <> to_idx").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= candidates + size)
+    best = edges.filter("from_idx <> to_idx").withColumn("rank", F.row_number().over(order))
+    if size is not None:
+        best = best.filter(F.col("rank") <= candidates + size)
     ahead = best.groupBy("pool", F.col("from_idx").alias("track_idx")).agg(F.array_sort(F.collect_list(F.struct("rank", "to_idx", "score"))).alias("ahead"))
     rows = tracks.join(quality, ["pool", "track_idx"]).join(ahead, ["pool", "track_idx"], "left").select("pool", "track_idx", "artist", "mix", "genre", "quality", F.col("ahead.to_idx").alias("to"), F.col("ahead.score").alias("scores"))
     used = dict(usage or {})
@@ -98,7 +100,7 @@ def beam_lists(tracks: DataFrame, edges: DataFrame, size: int, width: int = 8, c
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         known = {int(r.track_idx): {"quality": r.quality, "artist": r.artist or "", "mix": r.mix, "genre": r.genre} for r in pdf.itertuples()}
         ahead = {int(r.track_idx): list(zip(map(int, r.to), map(float, r.scores), strict=True)) if r.to is not None else [] for r in pdf.itertuples()}
-        path = beam(known, ahead, size, width, candidates, used)
+        path = beam(known, ahead, len(known) if size is None else size, width, candidates, used)
         return pd.DataFrame({"pool": pdf["pool"].iloc[0], "position": range(1, len(path) + 1), "track_idx": path})
 
     return rows.groupBy("pool").applyInPandas(run, f"pool {tracks.schema['pool'].dataType.simpleString()}, position int, track_idx long")

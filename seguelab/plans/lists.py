@@ -94,22 +94,26 @@ QUALITY_SUMMARY = _REPORT + " select round(avg(transition_score), 6) as avg_scor
 
 
 def beam_playlist(spark, sf_dir):
-    paths, _ = L.generate_lists(pool(spark, sf_dir), _edges(spark, sf_dir), 5)
+    """The whole pool in order."""
+    rows = pool(spark, sf_dir)
+    paths, _ = L.generate_lists(rows, _edges(spark, sf_dir), rows.count())
     return paths
 
 
 def multi_playlist(spark, sf_dir):
-    paths, _ = L.generate_lists(pool(spark, sf_dir), _edges(spark, sf_dir), 3, lists=3)
+    """Three lists of equal shares of the pool; up to two tracks remain where three don't divide it."""
+    rows = pool(spark, sf_dir)
+    paths, _ = L.generate_lists(rows, _edges(spark, sf_dir), rows.count() // 3, lists=3)
     return paths
 
 
 def beam_by_nation(spark, sf_dir):
-    """One list for each nation, all in parallel: pools are tasks."""
+    """One list of all its suppliers for each nation, all in parallel: pools are tasks."""
     rows = pool(spark, sf_dir)
     tracks = rows.select(F.col("s_nationkey").alias("pool"), "track_idx", "artist", F.col("tags").alias("mix"), F.lit("unknown").alias("genre"))
     nation = rows.select(F.col("track_idx").alias("i"), F.col("s_nationkey").alias("pool"))
     edges = _edges(spark, sf_dir).join(nation.withColumnRenamed("i", "from_idx"), "from_idx").join(nation.select(F.col("i").alias("to_idx"), F.col("pool").alias("q")), "to_idx").filter("pool = q").drop("q")
-    return L.beam_lists(tracks, edges, 1)
+    return L.beam_lists(tracks, edges, None)
 
 
 QUERIES = {
