@@ -184,14 +184,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = materialize(same, "distinct")
     copies = signed.select("id", "whole").join(kept.select("whole", F.col("id").alias("b")), "whole").filter("id <> b").select(F.col("id").alias("a"), "b")
     members = (
-        kept.select("id", F.explode("bands").alias("key"))
+        kept.select("whole", F.explode("bands").alias("key"))
         .groupBy("key")
-        .agg(F.collect_list("id").alias("ids"))
-        .filter("size(ids) > 1")
-        .select("key", F.explode("ids").alias("id"))
+        .agg(F.collect_list("whole").alias("texts"))
+        .filter("size(texts) > 1")
+        .select("key", F.explode("texts").alias("whole"))
     )
-    grouped = members.join(kept.select("id", "sketch").groupBy("id").agg(F.first("sketch").alias("sketch")), "id").select("key", "id", "sketch").repartition("key").sortWithinPartitions("key", "id")
-    edges = grouped.mapInArrow(_verifier(threshold), "a long, b long")
+    grouped = members.join(kept.select("whole", "id", "sketch"), "whole").select("key", "id", "sketch").repartition("key").sortWithinPartitions("key", "id")
+    edges = grouped.mapInArrow(_verifier(threshold), "a long, b long").filter("a <> b")
     return components(edges.union(copies)).filter("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
 
 
