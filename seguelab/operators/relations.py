@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TEMPORARY
 from ..functions.values import blank, filled, has
+from ..session import materialize
 
 # --- order and identity ------------------------------------------------------
 
@@ -17,15 +18,22 @@ from ..functions.values import blank, filled, has
 def number_rows(df: DataFrame, keys: Sequence[Column], out: str = "row_idx", start: int = 0) -> DataFrame:
     """A running number over the whole table in the order of the keys, without a single-partition window.
 
-    Rows are range-partitioned by the keys and numbered within each partition;
-    the partitions' offsets are a small broadcast table.
+    Rows are range-partitioned and sorted by the keys, and each is written with its
+    partition and its place there.  That table alone gives both the partitions'
+    sizes and the rows, so that the numbers have no gap whatever partitions another
+    run would have made.  The partitions' offsets are a broadcast of one row for
+    each partition.  Rows of equal keys go by a hash of all columns, so that a
+    frequent key is no partition of its own; equal rows go in any order.
     """
-    named = df.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
-    cols = [F.col(f"_k{i}") for i in range(len(keys))]
-    ranged = named.repartitionByRange(*cols).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").count().withColumn("_off", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_off")
-    w = Window.partitionBy("_p").orderBy(*cols)
-    return ranged.withColumn("_n", F.row_number().over(w)).join(F.broadcast(counts), "_p").select(*df.columns, (F.col("_n") + F.col("_off") + (start - 1)).alias(out))
+    named = df.withColumns({f"_k{i}": k for i, k in enumerate(keys)}).withColumn("_tie", F.xxhash64(*(F.col(f"`{c}`").cast("string") if dt.startswith(("map", "variant")) else F.col(f"`{c}`") for c, dt in df.dtypes))).withColumn("_same", F.monotonically_increasing_id())
+    order = [*(f"_k{i}" for i in range(len(keys))), "_tie", "_same"]
+    placed = named.repartitionByRange(*order).sortWithinPartitions(*order).select(*(F.col(f"`{c}`") for c in df.columns), F.monotonically_increasing_id().alias("_at"))
+    table = materialize(placed, "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = table.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select(F.col("part").alias("_part"), F.coalesce(before, F.lit(0)).alias("_off"))
+    numbered = table.join(F.broadcast(offsets), part == F.col("_part"))
+    return numbered.select(*(F.col(f"`{c}`") for c in df.columns), (place + F.col("_off") + F.lit(start)).alias(out))
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
