@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_table, materialize
 
 
+def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each group after the groups of a[k] and b[k] are joined; ``parent`` names each one's least member."""
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return parent
+        a, b = np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart])
+        np.minimum.at(parent, a, b)
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from seguelab.llm import bpe, chat, embedding, minhash, mixing, pii, ppm, quality_rules, runindex
+from seguelab.llm import bpe, chat, minhash, mixing, pii, ppm, quality_rules, runindex
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{k}x" for k in range(400)]
@@ -58,20 +58,6 @@ def test_repeated_passages_against_brute_force(spark):
     assert runindex.repeated_passages(df.limit(0)).count() == 0
 
 
-def test_embedding_pairs_against_brute_force(spark):
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal((60, 64))
-    x[30:] = x[:30] + 0.2 * rng.standard_normal((30, 64))
-    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(100, None), (None, [1.0] * 64), (101, [0.0] * 64), (102, [1.0] * 3)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    u = x.astype(np.float32).astype(float)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    s = u @ u.T
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.95}
-    assert want and {(r.vec_a, r.vec_b) for r in embedding.near_pairs(df).collect()} == want
-    assert embedding.near_pairs(df.limit(0)).count() == 0
-
-
 def test_ppm_against_the_plain_trie(spark):
     from pyspark.sql import functions as F
 
