@@ -24,8 +24,8 @@ STRUCTURE = {
     ("chroma_stability", "chroma_stability"): (0.16, 0.20),
 }
 WEIGHTS = {"edge_flow": 0.30, "structure": 0.20, "timbre": 0.20, "groove": 0.10, "sentiment": 0.10, "tonal": 0.10}
-#: Tracks whose compact features are broadcast to all others; a larger pool is joined by blocks.
-BROADCAST_TRACKS = 50_000
+#: Bytes of compact features that are broadcast to all others; a larger pool is joined by blocks.
+BROADCAST_BYTES = 64 << 20
 
 
 def similarity(a: Column, b: Column, scale: float = 0.25) -> Column:
@@ -100,9 +100,11 @@ def prepare(df: DataFrame, index: str = "track_idx") -> tuple[DataFrame, dict[st
     return materialize(slim, "tracks"), {"edge_flow": has_flow, "structure": has_structure, **names}
 
 
-def cross(slim: DataFrame, most: int = BROADCAST_TRACKS) -> DataFrame:
-    """All ordered pairs of rows, as ``l`` and ``r``: the broadcast of a pool of a checked size, or a product by blocks."""
-    small = slim.limit(most + 1).count() <= most
+def cross(slim: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """All ordered pairs of rows, as ``l`` and ``r``: the broadcast of a pool of a checked size in bytes, or a product by blocks."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in slim.schema.fields if f.dataType.simpleString() == "string"]
+    row = F.lit(16 * len(slim.columns)) + sum(texts, F.lit(0))
+    small = (slim.agg(F.sum(row).alias("bytes")).first()["bytes"] or 0) <= most
     return slim.alias("l").crossJoin(F.broadcast(slim).alias("r") if small else slim.hint("shuffle_replicate_nl").alias("r"))
 
 

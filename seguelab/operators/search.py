@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import label
 from ..functions.values import first_column, group_name, has, number, rating
+from ..session import materialize
 from .genre import CONFIDENT, UNKNOWN, ensure_genres
 from .relations import number_rows
 
@@ -112,9 +113,11 @@ def generate_lists(df: DataFrame, edges: DataFrame, size: int, lists: int = 1, g
     Without ``reuse`` a track is in one list at most.  The mix groups of earlier
     lists count against later ones.
     """
-    if size <= 0 or width <= 0 or candidates <= 0:
-        raise ValueError("size, beam width and candidates must be positive")
+    if size <= 0 or width <= 0 or candidates <= 0 or lists <= 0:
+        raise ValueError("size, number of lists, beam width and candidates must be positive")
     n = df.count()
+    if size > n:
+        raise ValueError("too few tracks for the list's size")
     if not reuse and size * lists > n:
         raise ValueError("too few tracks for that many lists without reuse")
     resolved = ensure_genres(df, genre_column, clusters)
@@ -126,24 +129,21 @@ def generate_lists(df: DataFrame, edges: DataFrame, size: int, lists: int = 1, g
         group_name(F.col("mix_group")).alias("mix"),
         F.when(sure, group_name(F.col("genre_primary"))).otherwise(UNKNOWN).alias("genre"),
     )
+    tracks = materialize(tracks, "tracks")
     every = edges.select(F.lit(0).alias("pool"), "from_idx", "to_idx", "score")
-    rows: list[tuple[str, int, int]] = []
-    used: set[int] = set()
+    out: DataFrame | None = None
     usage: Counter = Counter()
-    spark = df.sparkSession
     for k in range(lists):
         pool, ways = tracks, every
-        if used and not reuse:
-            gone = spark.createDataFrame([(i,) for i in used], "g long")
-            pool = tracks.join(F.broadcast(gone), F.col("track_idx") == F.col("g"), "left_anti")
-            ways = every.join(F.broadcast(gone), F.col("from_idx") == F.col("g"), "left_anti").join(F.broadcast(gone), F.col("to_idx") == F.col("g"), "left_anti")
-        path = beam_lists(pool, ways, size, width, candidates, usage).orderBy("position").collect()
-        idx = [r["track_idx"] for r in path]
-        mixes = {r["track_idx"]: r["mix"] for r in tracks.filter(F.col("track_idx").isin(idx)).select("track_idx", "mix").collect()}
-        usage.update(mixes[i] for i in idx)
-        used.update(idx)
-        rows += [(f"playlist_{k + 1:02d}", p + 1, i) for p, i in enumerate(idx)]
-    return spark.createDataFrame(rows, "playlist_name string, position int, track_idx long"), resolved
+        if out is not None and not reuse:
+            gone = out.select(F.col("track_idx").alias("g"))
+            pool = tracks.join(gone, F.col("track_idx") == F.col("g"), "left_anti")
+            ways = every.join(gone, F.col("from_idx") == F.col("g"), "left_anti").join(gone, F.col("to_idx") == F.col("g"), "left_anti")
+        path = materialize(beam_lists(pool, ways, size, width, candidates, usage).select(F.lit(f"playlist_{k + 1:02d}").alias("playlist_name"), "position", "track_idx"), "list")
+        out = path if out is None else out.unionByName(path)
+        if k + 1 < lists:
+            usage.update({r["mix"]: r["count"] for r in path.join(tracks, "track_idx").groupBy("mix").count().collect()})  # a row for each mix group
+    return out, resolved
 
 
 # --- orders ------------------------------------------------------------------
@@ -175,7 +175,7 @@ def ordered_paths(df: DataFrame, order_column: str | None = None, list_column: s
         return rows.select(F.lit("input_order").alias("playlist_name"), "position", F.col(f"`{index}`").alias("track_idx"))
     c = F.col(f"`{list_column}`")
     named = df.select(c.alias("g"), F.col(f"`{index}`").alias("track_idx"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
-    numbers = named.select("g").distinct().select("g", F.row_number().over(Window.orderBy(F.col("g").asc_nulls_last())).alias("number"))
+    numbers = number_rows(named.select("g").distinct(), [F.col("g").isNull().cast("int"), F.col("g")], "number", 1)
     w = Window.partitionBy("g").orderBy(*(f"k{i}" for i in range(len(keys))), "track_idx")
     placed = named.withColumn("position", F.row_number().over(w)).join(numbers.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h")))
     name = F.coalesce(F.nullif(F.trim(F.col("g").cast("string")), F.lit("")), F.format_string("playlist_%02d", "number"))
@@ -193,7 +193,8 @@ def playlist_table(df: DataFrame, paths: DataFrame, edges: DataFrame, index: str
     """The tracks of the lists in order, with the score and the band of the step to each."""
     own = ("playlist_index", "playlist_name", "position", "transition_score_from_previous", "transition_rating_from_previous")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in own]
-    numbered = step_scores(paths, edges).withColumn("playlist_index", F.dense_rank().over(Window.orderBy("playlist_name")))
+    numbers = number_rows(paths.select("playlist_name").distinct(), [F.col("playlist_name")], "playlist_index", 1).select(F.col("playlist_name").alias("_list"), F.col("playlist_index").cast("int").alias("playlist_index"))
+    numbered = step_scores(paths, edges).join(numbers, F.col("playlist_name").eqNullSafe(F.col("_list")))
     rows = numbered.select(F.col("track_idx").alias("_idx"), "playlist_index", F.col("playlist_name").alias("_name"), F.col("position").alias("_position"), "transition_score").join(df.select(*kept), F.col("_idx") == F.col(f"`{index}`"))
     return rows.select("playlist_index", F.col("_position").alias("position"), F.col("_name").alias("playlist_name"), F.col("transition_score").alias("transition_score_from_previous"), rating(F.col("transition_score")).alias("transition_rating_from_previous"), *kept)
 

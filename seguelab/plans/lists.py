@@ -18,7 +18,7 @@ def _edges(spark, sf_dir):
 
 def _paths(spark, sf_dir):
     """Each nation's suppliers in the order of their balance."""
-    return L.ordered_paths(pool(spark, sf_dir).select("track_idx", F.concat(F.lit("list "), F.col("s_nationkey").cast("string")).alias("playlist_name"), F.col("s_acctbal").alias("position")))
+    return L.ordered_paths(pool(spark, sf_dir, ("track_idx", "s_nationkey", "s_acctbal")).select("track_idx", F.concat(F.lit("list "), F.col("s_nationkey").cast("string")).alias("playlist_name"), F.col("s_acctbal").alias("position")))
 
 
 def order_paths(spark, sf_dir):
@@ -46,7 +46,7 @@ def input_order(spark, sf_dir):
 
 
 def playlist_table(spark, sf_dir):
-    rows = pool(spark, sf_dir).select("track_idx", "title")
+    rows = pool(spark, sf_dir, ("track_idx", "title"))
     out = L.playlist_table(rows, _paths(spark, sf_dir), _edges(spark, sf_dir))
     return out.withColumn("transition_score_from_previous", F.round("transition_score_from_previous", 6))
 
@@ -57,7 +57,7 @@ from l join m t using (track_idx) left join pair_scores e on e.from_idx = prev a
 
 
 def _report(spark, sf_dir):
-    return L.transition_report(pool(spark, sf_dir).select("track_idx", "title", "artist"), _paths(spark, sf_dir), _edges(spark, sf_dir))
+    return L.transition_report(pool(spark, sf_dir, ("track_idx", "title", "artist")), _paths(spark, sf_dir), _edges(spark, sf_dir))
 
 
 def transition_report(spark, sf_dir):
@@ -109,7 +109,7 @@ def multi_playlist(spark, sf_dir):
 
 def beam_by_nation(spark, sf_dir):
     """One list of all its suppliers for each nation, all in parallel: pools are tasks."""
-    rows = pool(spark, sf_dir)
+    rows = pool(spark, sf_dir, ("track_idx", "s_nationkey", "artist", "tags"))
     tracks = rows.select(F.col("s_nationkey").alias("pool"), "track_idx", "artist", F.col("tags").alias("mix"), F.lit("unknown").alias("genre"))
     nation = rows.select(F.col("track_idx").alias("i"), F.col("s_nationkey").alias("pool"))
     edges = _edges(spark, sf_dir).join(nation.withColumnRenamed("i", "from_idx"), "from_idx").join(nation.select(F.col("i").alias("to_idx"), F.col("pool").alias("q")), "to_idx").filter("pool = q").drop("q")

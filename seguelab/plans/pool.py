@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,22 +27,31 @@ def _bounds(name: str) -> tuple[float, float]:
     return WIDE.get(base, (0.0, 1.0))
 
 
-def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+_KEYS = (("key", 12), ("mode", 2), ("intro_key", 12), ("intro_mode", 2), ("outro_key", 12), ("outro_mode", 2))
+
+
+def pool(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The pool's table; of named columns no others are made."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     cents, key = F.round(F.col("s_acctbal") * 100).cast("long"), F.col("s_suppkey")
     h = lambda k, m: F.pmod(cents * (2 * k + 3) + key * (k + 7) * 13, F.lit(m))
-    made = [(F.lit(lo) + F.lit(hi - lo) * (h(k, 997).cast("double") / F.lit(996.0))).alias(n) for k, n in enumerate(NAMES) for lo, hi in (_bounds(n),)]
     pick = lambda values, k: F.element_at(F.array(*(F.lit(v) for v in values)), (h(k, len(values)) + 1).cast("int"))
-    keys = [h(200 + k, m).cast("int").alias(n) for k, (n, m) in enumerate((("key", 12), ("mode", 2), ("intro_key", 12), ("intro_mode", 2), ("outro_key", 12), ("outro_mode", 2)))]
-    return materialize(s.select(key.alias("track_idx"), "s_nationkey", "s_acctbal", F.concat(F.lit("artist "), F.col("s_nationkey").cast("string")).alias("artist"), pick(TITLES, 300).alias("title"), pick(TAGS, 301).alias("tags"), *keys, *made), "pool")
+    wanted = lambda n: columns is None or n in columns
+    made = {"track_idx": lambda: key, "s_nationkey": lambda: F.col("s_nationkey"), "s_acctbal": lambda: F.col("s_acctbal"), "artist": lambda: F.concat(F.lit("artist "), F.col("s_nationkey").cast("string")), "title": lambda: pick(TITLES, 300), "tags": lambda: pick(TAGS, 301)}
+    made |= {n: (lambda k=k, m=m: h(200 + k, m).cast("int")) for k, (n, m) in enumerate(_KEYS)}
+    made |= {n: (lambda k=k, lo=lo, hi=hi: F.lit(lo) + F.lit(hi - lo) * (h(k, 997).cast("double") / F.lit(996.0))) for k, n in enumerate(NAMES) for lo, hi in (_bounds(n),)}
+    table = s.select(*(c().alias(n) for n, c in made.items() if wanted(n)))
+    return materialize(table, "pool") if columns is None else table
 
 
-def pool_sql() -> str:
+def pool_sql(columns: Sequence[str] | None = None) -> str:
+    wanted = lambda n: columns is None or n in columns
     h = lambda k, m: f"(((cents * {2 * k + 3} + s_suppkey * {(k + 7) * 13}) % {m} + {m}) % {m})"
-    made = [f"{lo}::DOUBLE + {hi - lo}::DOUBLE * ({h(k, 997)}::DOUBLE / 996.0::DOUBLE) as {n}" for k, n in enumerate(NAMES) for lo, hi in (_bounds(n),)]
     pick = lambda values, k: f"[{', '.join(map(quote, values))}][{h(k, len(values))} + 1]"
-    keys = [f"{h(200 + k, m)}::INTEGER as {n}" for k, (n, m) in enumerate((("key", 12), ("mode", 2), ("intro_key", 12), ("intro_mode", 2), ("outro_key", 12), ("outro_mode", 2)))]
-    return f"(select s_suppkey as track_idx, s_nationkey, s_acctbal, 'artist ' || s_nationkey::VARCHAR as artist, {pick(TITLES, 300)} as title, {pick(TAGS, 301)} as tags, {', '.join(keys)}, {', '.join(made)} from (select *, round(s_acctbal * 100)::BIGINT as cents from supplier))"
+    made = {"track_idx": "s_suppkey", "s_nationkey": "s_nationkey", "s_acctbal": "s_acctbal", "artist": "'artist ' || s_nationkey::VARCHAR", "title": pick(TITLES, 300), "tags": pick(TAGS, 301)}
+    made |= {n: f"{h(200 + k, m)}::INTEGER" for k, (n, m) in enumerate(_KEYS)}
+    made |= {n: f"{lo}::DOUBLE + {hi - lo}::DOUBLE * ({h(k, 997)}::DOUBLE / 996.0::DOUBLE)" for k, n in enumerate(NAMES) for lo, hi in (_bounds(n),)}
+    return f"(select {', '.join(f'{c} as {n}' for n, c in made.items() if wanted(n))} from (select *, round(s_acctbal * 100)::BIGINT as cents from supplier))"
 
 
 # --- the scorer in SQL -------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import features as X
@@ -55,7 +54,7 @@ QUALITY = pair_scores_sql() + " select from_idx, round(avg(score) + 0.75::DOUBLE
 
 
 def tonal_similarity(spark, sf_dir):
-    return _rounded(P.tonal_pairs(pool(spark, sf_dir), to_key="intro_key", to_mode="intro_mode"), "score")
+    return _rounded(P.tonal_pairs(pool(spark, sf_dir, ("track_idx", "key", "mode", "intro_key", "intro_mode")), to_key="intro_key", to_mode="intro_mode"), "score")
 
 
 def _tonal_sql(key: str, mode: str) -> str:
@@ -65,17 +64,17 @@ select l.track_idx as from_idx, r.track_idx as to_idx, round({table_}[l.e * 24 +
 
 
 def key_similarity(spark, sf_dir):
-    return _rounded(S.key_pairs(pool(spark, sf_dir)), "score")
+    return _rounded(S.key_pairs(pool(spark, sf_dir, ("track_idx", "key", "mode"))), "score")
 
 
 def key_table(spark, sf_dir):
     """The 24 keys against each other, and how many tracks have each."""
-    tracks = pool(spark, sf_dir)
+    tracks = pool(spark, sf_dir, ("track_idx", "key", "mode"))
     rows = tracks.groupBy(X.key_code(tracks, "key", "mode").alias("code")).agg(F.count("*").alias("n"))
     return rows.select("code", "n", F.round(X.key_similarity(F.col("code"), F.lit(12)), 6).alias("to_c_major"))
 
 
-KEY_TABLE = "with t as (select case when mode = 1 then key + 12 else key end as code from " + pool_sql() + ") select code, count(*) as n, round([" + ", ".join(f"{s!r}::DOUBLE" for _, _, s in X.key_table()) + "][code * 24 + 12 + 1], 6) as to_c_major from t group by code"
+KEY_TABLE = "with t as (select case when mode = 1 then key + 12 else key end as code from " + pool_sql(("track_idx", "key", "mode")) + ") select code, count(*) as n, round([" + ", ".join(f"{s!r}::DOUBLE" for _, _, s in X.key_table()) + "][code * 24 + 12 + 1], 6) as to_c_major from t group by code"
 
 
 def pairwise_similarity(spark, sf_dir):
@@ -92,7 +91,7 @@ PAIRWISE = "select a.n_nationkey as from_idx, b.n_nationkey as to_idx, round(exp
 
 def genre_keyword(spark, sf_dir):
     g = G.keyword_genre(F.col("title"))
-    return pool(spark, sf_dir).select("track_idx", g.alias("g")).select("track_idx", "g.genre", F.round("g.confidence", 6).alias("confidence"))
+    return pool(spark, sf_dir, ("track_idx", "title")).select("track_idx", g.alias("g")).select("track_idx", "g.genre", F.round("g.confidence", 6).alias("confidence"))
 
 
 def genre_votes(spark, sf_dir):
@@ -129,7 +128,7 @@ select from_idx, to_idx, round(score, 6) as score from s qualify row_number() ov
 
 
 def _vectors(spark, sf_dir):
-    return pool(spark, sf_dir).withColumn("vector", F.array(*VECTOR))
+    return pool(spark, sf_dir, ("track_idx", "key", "mode", *VECTOR)).withColumn("vector", F.array(*VECTOR))
 
 
 def _blended(spark, sf_dir):
@@ -147,7 +146,7 @@ def knn_sparsify(spark, sf_dir):
 
 def _blend_sql() -> str:
     t = "[" + ", ".join(f"{s!r}::DOUBLE" for _, _, s in X.key_table()) + "]"
-    return f"""with p as (select track_idx, [{', '.join(VECTOR)}] as v, case when mode = 1 then key + 12 else key end as e from {pool_sql()}),
+    return f"""with p as (select track_idx, [{', '.join(VECTOR)}] as v, case when mode = 1 then key + 12 else key end as e from {pool_sql(("track_idx", "key", "mode", *VECTOR))}),
 x as (select l.track_idx as i, r.track_idx as j, (2 * list_cosine_similarity(l.v, r.v) + {t}[l.e * 24 + r.e + 1]) / 3 as s from p l cross join p r),
 b as (select a.i as from_idx, a.j as to_idx, round(greatest(0::DOUBLE, least(1::DOUBLE, (a.s + z.s) / 2)), 9) as score from x a join x z on a.i = z.j and a.j = z.i)"""
 
@@ -157,22 +156,17 @@ KNN = _blend_sql() + ", k as (select * from b qualify row_number() over (partiti
 
 
 def mst_tour(spark, sf_dir):
-    path = S.tree_tour(S.sparsify(_blended(spark, sf_dir), 20))
-    return spark.createDataFrame([(p + 1, i) for p, i in enumerate(path)], "position int, track_idx long")
+    return S.tree_tours(S.sparsify(_blended(spark, sf_dir), 20)).select("position", "track_idx")
 
 
 def two_opt_tour(spark, sf_dir):
-    """The tour improved; a pool is one list, whose matrix the driver holds."""
+    """The tour improved; a pool is one list."""
     edges = _blended(spark, sf_dir)
-    path = S.tree_tour(S.sparsify(edges, 20))
-    rows = edges.toPandas()
-    score = np.zeros((int(rows["from_idx"].max()) + 1,) * 2)
-    score[rows["from_idx"], rows["to_idx"]] = rows["score"]
-    return spark.createDataFrame([(p + 1, i) for p, i in enumerate(S.two_opt(path, score))], "position int, track_idx long")
+    return S.improved_tours(S.tree_tours(S.sparsify(edges, 20)), edges).select("position", "track_idx")
 
 
 def principal_components(spark, sf_dir):
-    return X.principal_components(pool(spark, sf_dir), [*VECTOR, "tempo"]).select("track_idx", F.transform("components", lambda c: F.round(c, 6)).alias("components"))
+    return X.principal_components(pool(spark, sf_dir, ("track_idx", *VECTOR, "tempo")), [*VECTOR, "tempo"]).select("track_idx", F.transform("components", lambda c: F.round(c, 6)).alias("components"))
 
 
 # --- the pair model ----------------------------------------------------------
@@ -196,7 +190,7 @@ BALANCE = "with n as (select count(*) as n from (select lead(turn) over (partiti
 
 
 def _tracks(spark, sf_dir):
-    return pool(spark, sf_dir).select("track_idx", "tempo", F.col("tags").alias("genre_primary"))
+    return pool(spark, sf_dir, ("track_idx", "tempo", "tags")).select("track_idx", "tempo", F.col("tags").alias("genre_primary"))
 
 
 def forest_scores(spark, sf_dir):
@@ -218,7 +212,7 @@ QUERIES = {
     "key_similarity": (key_similarity, _tonal_sql("key", "mode")),
     "key_table": (key_table, KEY_TABLE),
     "pairwise_similarity": (pairwise_similarity, PAIRWISE),
-    "genre_keyword": (genre_keyword, f"select track_idx, g.genre, round(g.confidence, 6) as confidence from (select track_idx, {keyword_sql('title')} as g from {pool_sql()})"),
+    "genre_keyword": (genre_keyword, f"select track_idx, g.genre, round(g.confidence, 6) as confidence from (select track_idx, {keyword_sql('title')} as g from {pool_sql(("track_idx", "title"))})"),
     "genre_votes": (genre_votes, f"select track_idx, genre, round(confidence, 6) as confidence from {votes_sql(pool_sql())}"),
     "genre_prototype": (genre_prototype, f"select track_idx, genre, round(confidence, 6) as confidence from {prototype_sql(moods_table_sql())}"),
     "genre_resolve": (genre_resolve, RESOLVE),
