@@ -4,21 +4,29 @@ The k samples of a document's MinHash signature are folded into a parity bitmap
 (an odd sketch): each (sample number, value) flips one bit.  The exclusive or of
 two bitmaps is the bitmap of the samples on which the documents differ, so its
 population count estimates their Jaccard similarity, precisely when it is high.
+
+Texts of one signature are one node.  Nodes of a band meet in its bucket: each is
+compared with the bucket's least node, and one that differs from it with all
+others.  Buckets are counted, never gathered: all of it is joins and aggregates
+on short rows, and the second comparison goes by parts of a bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, free_name, keyed_text, materialize, mix, rows_of, text_slices, words
-from .components import components
+from .components import components, unite
 
 SAMPLES, ROWS, BITS, SHINGLE, THRESHOLD = 128, 4, 512, 3, 0.5
+#: Members of a bucket that meet in one task; the parts of a larger bucket meet one by one.
+PART_ROWS = 4096
 _RNG = np.random.default_rng(7919)
 _MULTIPLY = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32)
@@ -82,7 +90,7 @@ def similarity(difference: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, ids = batch.column(1), column(batch, "id")
+        ids, texts = batch.column(0), batch.column(1)
         for lo, hi, buf, off in text_slices(texts):
             h, _, _, first = words(buf, off)
             g, at = shingles(h, first, SHINGLE)
@@ -90,82 +98,97 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not has.any():
                 continue
             sig = signatures(g, np.concatenate([at[:-1][has], at[-1:]]))
-            whole = np.zeros(len(sig), np.uint64)
+            node = np.zeros(len(sig), np.uint64)
             for j in range(SAMPLES):
-                whole = mix(whole + sig[:, j] + np.uint64(j))
-            keys, sketch = band_keys(sig), odd_sketches(sig)
+                node = mix(node + sig[:, j] + np.uint64(j))
+            lists = band_keys(sig), np.ascontiguousarray(odd_sketches(sig)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[lo:hi][has], pa.int64()),
-                    pa.array(whole.view(np.int64)),
-                    pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel())),
-                    pa.Array.from_buffers(pa.binary(), len(sketch), [None, pa.py_buffer(np.arange(0, sketch.size + 1, BITS // 8, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(sketch))]),
-                ],
-                names=["id", "whole", "bands", "sketch"],
+                [ids.slice(lo, hi - lo).filter(pa.array(has)), pa.array(node.view(np.int64)), *(pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel())) for x in lists)],
+                names=["id", "node", "bands", "sketch"],
             )
 
 
-def _popcount(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
+def most_different(threshold: float) -> int:
+    """The most differing bits of two sketches that still stand for the threshold; -1 if none do."""
+    return int(np.count_nonzero(similarity(np.arange(BITS + 1)) >= threshold)) - 1
 
 
-def verify_groups(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect the similar documents of each bucket; rows come grouped by key.
+def _difference(a: str, b: str) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(BITS // 64)))
 
-    Every document is compared with its bucket's first; one that is not similar
-    to it is compared with all others of the bucket.  So two documents of a
-    bucket that are similar always end up connected, and a bucket of n copies
-    costs n comparisons.
-    """
-    head = np.concatenate([[True], key[1:] != key[:-1]])
-    leader = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-    near = similarity(_popcount(sketch, sketch[leader])) >= threshold
-    a, b = [ids[near & ~head]], [ids[leader[near & ~head]]]
-    bounds = np.append(np.flatnonzero(head), len(key))
-    for i in np.flatnonzero(~near):
-        g = np.searchsorted(bounds, i, side="right") - 1
-        for lo in range(bounds[g], bounds[g + 1], 1 << 16):
-            part = slice(lo, min(lo + (1 << 16), bounds[g + 1]))
-            hit = np.flatnonzero(similarity(_popcount(sketch[part], sketch[i : i + 1])) >= threshold) + lo
-            hit = hit[hit != i]
-            a.append(np.full(len(hit), ids[i]))
-            b.append(ids[hit])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _verifier(threshold: float):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush(parts):
-            key, ids, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = verify_groups(key, ids, sketch, threshold)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+def verify_rest(node: np.ndarray, rest: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its group), of a bucket's rows, those of ``rest`` compared with all others; unlinked nodes are left out."""
+    order = np.argsort(node, kind="stable")
+    node, rest, sketch = node[order], rest[order], sketch[order]
+    head = np.concatenate([[True], node[1:] != node[:-1]])
+    group = np.cumsum(head) - 1
+    asks = np.zeros(int(head.sum()), bool)
+    asks[group[rest]] = True
+    node, sketch = node[head], sketch[head]
+    root, wanted = np.arange(len(node)), np.flatnonzero(asks)
+    for lo in range(0, len(wanted), 256):
+        a = wanted[lo : lo + 256]
+        for start in range(0, len(node), 4096):
+            i, j = np.nonzero(np.bitwise_count(sketch[a][:, None] ^ sketch[None, start : start + 4096]).sum(axis=2, dtype=np.int64) <= most)
+            root = unite(root, a[i], start + j)
+    linked = np.flatnonzero(root != np.arange(len(node)))
+    return node[linked], node[root[linked]]
+
+
+def _verifier(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush():
+            node, rest, sketch = (np.concatenate(x) for x in zip(*(h[1:] for h in held), strict=True))
+            a, b = verify_rest(node, rest, sketch, most)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ids = column(batch, "key"), column(batch, "id")
-            raw = batch.column(2)
-            sketch = np.frombuffer(raw.buffers()[2], np.uint8)[raw.offset * BITS // 8 :][: len(ids) * BITS // 8].reshape(-1, BITS // 8)
-            sketch = np.ascontiguousarray(sketch).view(np.uint64)
-            cut = int(np.searchsorted(key, key[-1])) if held or key[0] != key[-1] else 0
-            if key[0] == key[-1]:
-                if held and held[-1][0][-1] != key[0]:
-                    yield flush(held)
-                    held = []
-                held.append((key, ids, sketch))
-                continue
-            held.append((key[:cut], ids[:cut], sketch[:cut]))
-            yield flush(held)
-            held = [(key[cut:], ids[cut:], sketch[cut:])]
+            key = np.stack([column(batch, k) for k in ("key", "part", "rest_part")], axis=1)
+            listed = batch.column(batch.schema.get_field_index("sketch"))
+            parts = column(batch, "node"), column(batch, "rest").astype(bool), listed.flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+            edge = np.append(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])), len(key))
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if held and held[0][0] != tuple(key[lo]):
+                    yield flush()
+                    held.clear()
+                held.append((tuple(key[lo]), *(p[lo:hi] for p in parts)))
         if held:
-            yield flush(held)
-
-    return verify
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+            yield flush()
+
+    return run
+
+
+def _links(kept: DataFrame, threshold: float, part_rows: int) -> DataFrame:
+    """(a, b): edges that connect the nodes which share a band and whose sketches stand for at least the threshold."""
+    most = most_different(threshold)
+    members = kept.select("node", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    met = materialize(members.join(buckets, "key").filter("node <> leader"), "buckets")
+    sketches = kept.select("node", "sketch")
+    pairs = met.select("node", "leader").distinct().join(sketches.withColumnRenamed("sketch", "own"), "node")
+    pairs = pairs.join(sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("other")), "leader")
+    judged = materialize(pairs.select("node", "leader", (_difference("own", "other") <= most).alias("near")), "judged")
+    near = judged.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    rest = materialize(met.join(judged.filter("not near"), ["node", "leader"]).select("key", "node", "n"), "rest")
+    if rest.isEmpty():
+        return near
+    pieces = lambda n: F.ceil(F.col(n) / part_rows).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sizes = rest.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("r")).select("key", pieces("n").alias("parts"), pieces("r").alias("rest_parts"))
+    known = met.join(sizes, "key").select("key", "node", place("parts").alias("part"), each("rest_parts").alias("rest_part"), F.lit(False).alias("rest"))
+    asked = rest.join(sizes, "key").select("key", "node", each("parts").alias("part"), place("rest_parts").alias("rest_part"), F.lit(True).alias("rest"))
+    order = ("key", "part", "rest_part")
+    grouped = known.unionByName(asked).join(sketches, "node").repartition(*order).sortWithinPartitions(*order)
+    return near.union(grouped.mapInArrow(_verifier(most), "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, kept_id): every document that duplicates an earlier one, with the one of its group that stays, the least id.
 
     Documents are near duplicates where a chain of pairs leads from one to the
@@ -177,35 +200,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * A text of one or two words is one shingle.
     * Rows with the same id and text count once; an id with several texts is
       in the groups of all of them.
+    * Ids keep their type; a very long text is read whole.
     * An empty table gives an empty result; other columns are ignored.
     """
-    signed = materialize(keyed_text(docs, id_col, text_col).filter("id is not null and text is not null").mapInArrow(_sign, "id long, whole long, bands array<long>, sketch binary"), "signatures")
-    same = signed.groupBy("whole").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    kept = materialize(same, "distinct")
-    copies = signed.select("id", "whole").join(kept.select("whole", F.col("id").alias("b")), "whole").filter("id <> b").select(F.col("id").alias("a"), "b")
-    members = (
-        kept.select("whole", F.explode("bands").alias("key"))
-        .groupBy("key")
-        .agg(F.collect_list("whole").alias("texts"))
-        .filter("size(texts) > 1")
-        .select("key", F.explode("texts").alias("whole"))
-    )
-    grouped = members.join(kept.select("whole", "id", "sketch"), "whole").select("key", "id", "sketch").repartition("key").sortWithinPartitions("key", "id")
-    edges = grouped.mapInArrow(_verifier(threshold), "a long, b long").filter("a <> b")
-    return components(edges.union(copies)).filter("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
+    rows = keyed_text(docs, id_col, text_col).filter("id is not null and text is not null")
+    kind = rows.schema["id"].dataType.simpleString()
+    signed = materialize(rows.mapInArrow(_sign, f"id {kind}, node long, bands array<long>, sketch array<long>"), "signatures")
+    kept = materialize(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "distinct")
+    owners = signed.select("id", "node")
+    several = owners.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b <> c").select("id", "b")
+    of_one_id = owners.join(several, "id").select(F.col("node").alias("a"), "b")
+    groups = components(_links(kept, threshold, part_rows).union(of_one_id))
+    placed = owners.join(groups, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1").select("root", "kept_id")
+    return placed.join(least, "root").filter("id <> kept_id").select(F.col("id").alias("doc_id"), "kept_id").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that :func:`near_duplicates` lists; one document of each group stays.
 
-    Rows that repeat an id count as copies: one of them stays.  Rows with a null
-    id stay.  Columns are those of ``docs``.
+    Rows that repeat an id count as copies: the one of the least text (a null one
+    first), then of the least hash of all columns, stays.  Rows with a null id and
+    rows with a null, empty or wordless text of an id of their own stay.  Columns
+    are those of ``docs``.
     """
     drops = near_duplicates(docs, id_col, text_col, threshold)
     gone = free_name(docs, "gone")
-    left = docs.join(drops.select(F.col("doc_id").alias(gone)).distinct(), F.col(f"`{id_col}`") == F.col(gone), "left_anti")
-    again = docs.groupBy(F.col(f"`{id_col}`").alias("k")).count().filter("count > 1 and k is not null").select(F.col("k").alias(gone))
+    match = F.col(f"`{id_col}`") == F.col(gone)
+    left = docs.join(drops.select(F.col("doc_id").alias(gone)), match, "left_anti")
+    again = materialize(docs.groupBy(F.col(f"`{id_col}`").alias(gone)).count().filter(f"count > 1 and `{gone}` is not null").select(gone), "repeated")
     if again.isEmpty():
         return left
-    match = F.col(f"`{id_col}`") == F.col(gone)
-    return left.join(again, match, "left_anti").union(left.join(again, match, "left_semi").dropDuplicates([id_col]))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = left.join(again, match, "left_semi").groupBy(F.col(f"`{id_col}`")).agg(F.min_by(row, F.struct(F.col(f"`{text_col}`"), F.xxhash64(row))).alias(gone))
+    return left.join(again, match, "left_anti").union(first.select(*(F.col(gone)[c].alias(c) for c in docs.columns)))
