@@ -9,6 +9,11 @@ Where the trie is fixed, the code length of a byte depends on the bytes of its
 context alone.  So each distinct (context, byte) is scored once, and a document's
 code length is a sum over its distinct ones.  The start of a text is a symbol
 of its own in contexts.
+
+Texts are dealt into chunks of a bounded size with the distinct entries of each,
+which is all that is shuffled: they are counted for the model, meet its scores by
+a join, and come back to their chunk before its texts.  Neither the driver nor a
+worker ever holds the model.
 """
 
 from __future__ import annotations
@@ -18,14 +23,17 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, text_slices
+from .common import column, drop_table, materialize, text_slices
 
 ORDER = 4
-#: Entries of the model up to which workers get it whole (about 12 bytes each); a larger one is joined by a shuffle.
-BROADCAST_ENTRIES = 8_000_000
+#: Bytes of text whose distinct entries a worker holds at a time; a longer text is a chunk of its own.
+CHUNK_BYTES = 32 << 20
+#: Entries in a row of a chunk's list.
+_PACK = 1024
 _W = 9  # bits of a symbol: 0 before the text starts, else the byte and one
 _ROWS = 1 << 16
 
@@ -99,32 +107,47 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[head], np.add.reduceat(counts, head) if len(head) else counts
 
 
-def _counter(order: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+def _coder(order: int, chunk_bytes: int):
+    """Each text with its chunk, and at a chunk's end its distinct entries (gram * 2 + fold) with their counts."""
 
-        def out(keys, counts):
-            for lo in range(0, len(keys), 1 << 18):
-                k = keys[lo : lo + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array((k >> np.uint64(1)).astype(np.int64)), pa.array((k & np.uint64(1)).astype(np.int8)), pa.array(counts[lo : lo + (1 << 18)].astype(np.int64))], names=["gram", "fold", "n"])
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size, held, parts = TaskContext.get().partitionId() << 32, 0, 0, []
 
+        def entries():
+            keys, counts = _merged(parts)
+            for lo in range(0, len(keys), _PACK * 256):
+                k, n = keys[lo : lo + _PACK * 256].astype(np.int64), counts[lo : lo + _PACK * 256].astype(np.int64)
+                ends = np.append(np.arange(0, len(k), _PACK), len(k))
+                rows = len(ends) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, chunk)), pa.nulls(rows, kind), pa.nulls(rows, pa.string()), pa.nulls(rows, pa.int8()), _lists(ends, pa.array(k)), _lists(ends, pa.array(n))], names=names)
+
+        names, kind = ["chunk", "doc_id", "text", "fold", "entries", "counts"], None
         for batch in batches:
-            folds = column(batch, "fold").astype(np.uint64)
-            for lo, hi, buf, off in text_slices(batch.column(0), 1 << 21):
-                key = grams(buf, off, order) << np.uint64(1) | np.repeat(folds[lo:hi], np.diff(off))
+            texts, folds, ids = batch.column(0), batch.column(1), batch.column(2)
+            kind = ids.type
+            number = column(batch, "fold").astype(np.uint64)
+            for lo, hi, buf, off in text_slices(texts, 1 << 21):
+                key = grams(buf, off, order) << np.uint64(1) | np.repeat(number[lo:hi], np.diff(off))
                 key.sort()
                 parts.append(_runs(key))
-                size += len(parts[-1][0])
-                if size > 6_000_000:
+                held, size = held + len(parts[-1][0]), size + len(buf)
+                n = hi - lo
+                empty = pa.nulls(n, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), ids.slice(lo, n), texts.slice(lo, n), folds.slice(lo, n), empty, empty], names=names)
+                if held > 6_000_000:
                     parts = [_merged(parts)]
-                    size = len(parts[0][0])
-                    if size > 3_000_000:
-                        yield from out(*parts[0])
-                        parts, size = [], 0
+                    held = len(parts[0][0])
+                if size >= chunk_bytes:
+                    yield from entries()
+                    chunk, size, held, parts = chunk + 1, 0, 0, []
         if parts:
-            yield from out(*_merged(parts))
+            yield from entries()
 
-    return count
+    return code
 
 
 def _low_counts(counted: DataFrame, order: int) -> np.ndarray:
@@ -207,15 +230,29 @@ def _folded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(2)).cast("byte").alias("fold"), F.col(f"`{id_col}`").alias("doc_id"))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """(entry, bits) for each (context, byte) that occurs in a fold, under the trie of the other; entry = gram * 2 + fold."""
+def code_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The texts with their chunks, and the chunks' distinct entries, written to the shared folder."""
     if not 1 <= order <= 5:
         raise ValueError("the order must be from 1 to 5")
-    counted = materialize(_folded(docs, id_col, text_col).select("text", "fold").mapInArrow(_counter(order), "gram long, fold byte, n long").groupBy("gram").agg(F.sum(F.when(F.col("fold") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("fold") == 1, F.col("n")).otherwise(0)).alias("b")), "counts")
+    rows = _folded(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return materialize(rows.mapInArrow(_coder(order, chunk_bytes), f"chunk long, doc_id {kind}, text string, fold byte, entries array<long>, counts array<long>"), "coded")
+
+
+def _entries(coded: DataFrame) -> DataFrame:
+    return coded.filter("entries is not null").select("chunk", F.explode(F.arrays_zip("entries", "counts")).alias("x")).select("chunk", F.col("x.entries").alias("entry"), F.col("x.counts").alias("n"))
+
+
+def train(coded: DataFrame, order: int = ORDER) -> DataFrame:
+    """(entry, bits) for each (context, byte) that occurs in a fold, under the trie of the other; entry = gram * 2 + fold."""
+    of = lambda fold: F.sum(F.when(F.col("entry").bitwiseAND(F.lit(1)) == fold, F.col("n")).otherwise(0))
+    counted = materialize(_entries(coded).groupBy(F.shiftright("entry", 1).alias("gram")).agg(of(0).alias("a"), of(1).alias("b")), "counts")
     long = counted.select("gram", F.explode(F.array(F.struct(F.lit(0).alias("fold"), F.col("a").alias("n")), F.struct(F.lit(1).alias("fold"), F.col("b").alias("n")))).alias("x")).select("gram", "x.fold", "x.n").filter("n > 0")
     low = _low_counts(long, order)
     near = F.shiftright("gram", _W).bitwiseAND(F.lit((1 << 2 * _W) - 1 if order > 1 else (1 << _W) - 1))
-    return materialize(counted.repartition(near).mapInArrow(_scorer_of_entries(low, order), "entry long, bits double"), "model")
+    model = materialize(counted.repartition(near).mapInArrow(_scorer_of_entries(low, order), "entry long, bits double"), "model")
+    drop_table(counted)
+    return model
 
 
 def _rows(batch: pa.RecordBatch, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -236,47 +273,79 @@ def _rows(batch: pa.RecordBatch, order: int) -> Iterator[tuple[int, int, np.ndar
                 yield low + lo, low + hi, size, key[at].astype(np.int64), row[at], np.ones(len(at), np.int64)
 
 
-def score_documents(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, most_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """(doc_id, n_bytes, bits, bits_per_byte) for every row, by a model that :func:`train` made from the same texts."""
-    rows = _folded(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    per_byte = F.when(F.col("n_bytes") > 0, F.round(F.col("bits") / F.col("n_bytes"), 4)).alias("bits_per_byte")
-    if model.count() <= most_entries:
-        table = model.toArrow()
-        entry, bits = table.column("entry").to_numpy(), table.column("bits").to_numpy().astype(np.float32)
-        at = np.argsort(entry)
-        shared = docs.sparkSession.sparkContext.broadcast((entry[at], bits[at]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            entries, lengths = shared.value
-            for batch in batches:
-                for lo, hi, size, entry, row, count in _rows(batch, order):
-                    total = np.bincount(row, lengths[np.searchsorted(entries, entry)] * count.astype(np.float64), minlength=hi - lo) if len(entry) else np.zeros(hi - lo)
-                    yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), pa.array(size), pa.array(np.round(total, 2))], names=["doc_id", "n_bytes", "bits"])
-
-        return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, bits double").select("doc_id", "n_bytes", "bits", per_byte)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, entry, bits) as lists by chunk."""
+    held, count = [], 0
+
+    def out():
+        chunk, entry, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = np.argsort(chunk, kind="stable")
+        chunk, entry, bits = chunk[at], entry[at], bits[at]
+        head = np.concatenate([[True], chunk[1:] != chunk[:-1]])
+        head |= (np.arange(len(chunk)) - np.maximum.accumulate(np.where(head, np.arange(len(chunk)), 0))) % _PACK == 0
+        start = np.flatnonzero(head)
+        ends = np.append(start, len(chunk))
+        return pa.RecordBatch.from_arrays([pa.array(chunk[start]), _lists(ends, pa.array(entry)), _lists(ends, pa.array(bits.astype(np.float32)))], names=["chunk", "entries", "bits"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(column(batch, k) for k in ("chunk", "entry", "bits")))
+            count += batch.num_rows
+        if count > 2_000_000:
+            yield out()
+            held, count = [], 0
+    if held:
+        yield out()
+
+
+def _scorer_of_texts(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, ready = None, [], None
         for batch in batches:
-            for lo, _, _, entry, row, count in _rows(batch, order):
-                yield pa.RecordBatch.from_arrays([pa.array(column(batch, "place")[lo + row]), pa.array(entry), pa.array(count.astype(np.int64))], names=["place", "entry", "n"])
-
-    # a row's own key: its place among the rows of its text and id, so that repeated rows stay apart
-    keyed = materialize(rows.withColumn("place", F.monotonically_increasing_id()), "texts")
-    total = keyed.select("text", "fold", "place").mapInArrow(spread, "place long, entry long, n long").join(model, "entry").groupBy("place").agg(F.round(F.sum(F.col("bits").cast("float") * F.col("n")), 2).alias("bits"))
-    sizes = keyed.select("doc_id", "place", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sizes.join(total, "place", "left").select("doc_id", "n_bytes", F.coalesce("bits", F.lit(0.0)).alias("bits")).select("doc_id", "n_bytes", "bits", per_byte)
+            if not batch.num_rows:
+                continue
+            chunks, is_text = column(batch, "chunk"), column(batch, "is_text").astype(bool)
+            edge = np.append(np.flatnonzero(np.concatenate([[True], (chunks[1:] != chunks[:-1]) | (is_text[1:] != is_text[:-1])])), len(chunks))
+            for start, stop in zip(edge[:-1], edge[1:], strict=True):
+                part = batch.slice(start, stop - start)
+                if chunks[start] != current:
+                    current, parts, ready = chunks[start], [], None
+                if not is_text[start]:
+                    parts.append(tuple(part.column(part.schema.get_field_index(k)).flatten().to_numpy() for k in ("entries", "bits")))
+                    continue
+                if ready is None:
+                    entries, bits = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+                    at = np.argsort(entries, kind="stable")
+                    ready, parts = (entries[at], bits[at].astype(np.float64)), []
+                for lo, hi, size, entry, row, count in _rows(part, order):
+                    total = np.bincount(row, ready[1][np.searchsorted(ready[0], entry)] * count, minlength=hi - lo) if len(entry) else np.zeros(hi - lo)
+                    yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).slice(lo, hi - lo), pa.array(size), pa.array(np.round(total, 2))], names=["doc_id", "n_bytes", "bits"])
+
+    return run
+
+
+def score_documents(coded: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """(doc_id, n_bytes, bits, bits_per_byte) for every row, by a model that :func:`train` made from the same texts."""
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    met = _entries(coded).select("chunk", "entry").join(model, "entry").mapInArrow(_pack, "chunk long, entries array<long>, bits array<float>")
+    lists = met.select(F.lit(None).cast("string").alias("text"), F.lit(None).cast("byte").alias("fold"), F.lit(None).cast(kind).alias("doc_id"), "chunk", F.lit(False).alias("is_text"), "entries", "bits")
+    texts = coded.filter("text is not null").select("text", "fold", "doc_id", "chunk", F.lit(True).alias("is_text"), F.lit(None).cast("array<long>").alias("entries"), F.lit(None).cast("array<float>").alias("bits"))
+    dealt = lists.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "is_text")
+    scored = dealt.mapInArrow(_scorer_of_texts(order), f"doc_id {kind}, n_bytes long, bits double")
+    return scored.select("doc_id", "n_bytes", "bits", F.when(F.col("n_bytes") > 0, F.round(F.col("bits") / F.col("n_bytes"), 4)).alias("bits_per_byte"))
 
 
-def code_length(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+def code_length(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte): each row's code length under the trie of the other fold's whole texts.
 
     A null or empty text has 0 bytes, 0 bits and a null rate.  Null and repeated
     ids and repeated rows are scored row by row; copies count in the trie as often
-    as they occur.  Where the other fold is empty, each byte takes 8 bits.  An
-    empty table gives an empty result; other columns are ignored.
+    as they occur.  Ids keep their type; a very long text is scored whole.  Where
+    the other fold is empty, each byte takes 8 bits.  An empty table gives an empty
+    result; other columns are ignored.
     """
-    return score_documents(docs, train(docs, id_col, text_col, order), id_col, text_col, order)
+    coded = code_texts(docs, id_col, text_col, order, chunk_bytes)
+    return score_documents(coded, train(coded, order), order)
 
 
 def adaptive_code_length(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
