@@ -13,7 +13,7 @@ def _text(name: str) -> Column:
 
 
 def _turns(turns: DataFrame) -> DataFrame:
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).filter("conv_id is not null")
+    return turns.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).filter("conv_id is not null")
 
 
 def _digest() -> Column:
@@ -49,8 +49,9 @@ def format_chats(turns: DataFrame, end: str = END) -> DataFrame:
     """(conv_id, n_turns, rendered) of the maximal conversations, each turn as ``<|role|>``, its text and an end mark.
 
     Turns go by number, then by the digest of role and text, a null number
-    first.  A repeated row counts once.  A null role or text counts as empty, a
-    conversation without id is left out.  An empty table gives an empty result;
+    first.  A repeated row counts once; turns that share a number all stay.  A null
+    role or text counts as empty, a conversation without id is left out.  Ids keep
+    their type.  A very long text is rendered whole.  An empty table gives an empty result;
     other columns are ignored.
     """
     kept = maximal_conversations(turns)

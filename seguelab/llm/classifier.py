@@ -232,7 +232,7 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, target: np.ndarra
 def _learn(rows: DataFrame, chosen: DataFrame, featurise, label: dict[int, float]) -> tuple[np.ndarray, float]:
     """A scorer fitted to the labels of the chosen documents' patterns."""
     sample = rows.join(F.broadcast(chosen), "id").select("id", "text")
-    table = sample.mapInArrow(featurise, "id long, places array<int>, shares array<float>").join(F.broadcast(chosen), "id").toArrow()
+    table = sample.mapInArrow(featurise, f"id {rows.schema['id'].dataType.simpleString()}, places array<int>, shares array<float>").join(F.broadcast(chosen), "id").toArrow()
     places, shares = (table.column(k).combine_chunks() for k in ("places", "shares"))
     size = np.diff(places.offsets.to_numpy())
     target = np.array([label[p] for p in table.column("pattern").to_pylist()])
@@ -250,8 +250,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     gives a quality scorer of zeros; one without a toxic vote calls nothing toxic.
     """
     rows = keyed_text(docs, id_col, text_col)
-    both = materialize(rows.mapInArrow(_vote, "id long, pattern long, toxic long").filter("pattern > 0 or toxic > 0"), "votes")
-    least = lambda df, n: df.orderBy(F.xxhash64("id"), "id", "pattern").limit(n).dropDuplicates(["id"])
+    kind = rows.schema["id"].dataType.simpleString()
+    both = materialize(rows.mapInArrow(_vote, f"id {kind}, pattern long, toxic long").filter("pattern > 0 or toxic > 0"), "votes")
+    once = lambda df: df.groupBy("id").agg(F.min("pattern").alias("pattern"))
+    least = lambda df, n: once(df.orderBy(F.xxhash64("id"), "id", "pattern").limit(n))
 
     def labels(voted: DataFrame, labellers: tuple) -> tuple[np.ndarray, dict[int, float]]:
         found = voted.groupBy("pattern").count().orderBy("pattern").toPandas()
@@ -268,7 +270,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     if not bad:
         return quality, (np.zeros(DIMENSIONS, np.float32), -50.0)
     named = voted.filter("id is not null")
-    chosen = least(named, most).union(least(named.filter(F.col("pattern").isin(bad)), most // 4)).dropDuplicates(["id"])
+    chosen = once(least(named, most).union(least(named.filter(F.col("pattern").isin(bad)), most // 4)))
     return quality, _learn(rows, chosen, _featurise_words, {p: 1 - x for p, x in clean.items()})
 
 
@@ -302,7 +304,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     A null, empty or blank text has scores of 0 and isn't kept; it has no part in
     the training, nor have null ids, but these are scored.  Repeated rows vote as
-    often as they occur and are scored alike.  A very long text is read whole.
+    often as they occur and are scored alike; of an id with several texts that vote
+    apart, the least pattern is what the scorer learns.  Ids keep their type.  A very
+    long text is read whole.
     An empty table gives an empty result; other columns are ignored.
     """
     return score_documents(docs, *train(docs, id_col, text_col, most), id_col, text_col)
