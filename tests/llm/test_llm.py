@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from seguelab.llm import bpe, chat, minhash, mixing, pii, ppm, quality_rules, runindex
+from seguelab.llm import bpe, chat, minhash, mixing, pii, quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{k}x" for k in range(400)]
@@ -26,54 +26,6 @@ def test_near_duplicates_and_odd_cases(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def brute_spans(texts, least):
-    out = set()
-    for i, a in texts.items():
-        mark = [False] * len(a)
-        for j, b in texts.items():
-            if i != j:
-                grams = {tuple(b[k : k + least]) for k in range(len(b) - least + 1)}
-                for k in range(len(a) - least + 1):
-                    if tuple(a[k : k + least]) in grams:
-                        mark[k : k + least] = [True] * least
-        k = 0
-        while k < len(a):
-            e = k
-            while e < len(a) and mark[e]:
-                e += 1
-            if e > k:
-                out.add((i, k, e))
-            k = max(e, k + 1)
-    return out
-
-
-def test_repeated_passages_against_brute_force(spark):
-    rng = np.random.default_rng(3)
-    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
-    shared = fresh(70)
-    texts = {1: fresh(30) + shared + fresh(20), 2: shared + fresh(40), 3: fresh(90), 4: fresh(10) + shared[5:58] + fresh(9), 5: shared[:49], 6: fresh(60)}
-    texts[7] = list(texts[6])
-    df = docs(spark, [(i, " ".join(w), "s") for i, w in texts.items()] + [(8, None, "s"), (9, "", "s")])
-    assert {(r.doc_id, r.start_word, r.end_word) for r in runindex.repeated_passages(df).collect()} == brute_spans(texts, 50)
-    assert runindex.repeated_passages(df.limit(0)).count() == 0
-
-
-def test_ppm_against_the_plain_trie(spark):
-    from pyspark.sql import functions as F
-
-    texts = ["the cat sat", "the cat ran", "a dog ran", "é x", "zz", "the dog"]
-    df = docs(spark, [(k, t, "s") for k, t in enumerate(texts)] + [(90, None, "s"), (91, "", "s")])
-    fold = {r.doc_id: r.f for r in df.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("f")).collect()}
-    tries = [ppm.Trie(), ppm.Trie()]
-    for k, t in enumerate(texts):
-        for c, s in ppm.contexts(t.encode()):
-            tries[fold[k]].learn(c, s)
-    got = {r.doc_id: r.bits for r in ppm.code_length(df).collect()}
-    for k, t in enumerate(texts):
-        assert got[k] == pytest.approx(sum(tries[1 - fold[k]].bits(c, s) for c, s in ppm.contexts(t.encode())), abs=0.02)
-    assert got[90] == got[91] == 0
-
-
 def plain_merge(piece, ranks):
     parts = [bytes([b]) for b in piece]
     while True:
