@@ -4,11 +4,12 @@ Texts are sequences of word hashes.  Winnowing picks anchors (hashes of a few
 words) so that every passage of ``LEAST_WORDS`` words holds one, and the same
 ones wherever it occurs; anchors of a single text are dropped.  The words around
 the others, as far as a passage of that length with the anchor in it can reach,
-meet by anchor.  Over these repetitive collections the index is built: the
-Burrows-Wheeler transform's runs, and the suffixes at their ends with the longest
-common prefix (LCP) across each border.  Within a run these values follow from those at its
-ends by one step for each word, so one pass over the text streams the
-matching statistics: how many words from each place on occur in another text.
+meet by anchor.  Over these repetitive collections the index is built: the runs
+of the Burrows-Wheeler transform, and for the suffix at each run's first and last
+place its neighbour in the suffixes' order with their longest common prefix (LCP).
+The suffix array that made them is given up.  One pass over the text streams the
+matching statistics from these samples: between two samples a suffix's neighbour
+moves along by one word for each word, and the LCP falls by one.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import column, materialize, mix, rows_of, text_slices, words
 
 LEAST_WORDS, ANCHOR_WORDS = 50, 8
-#: Words that one index holds; groups of one anchor beyond it are indexed by pairs of their parts.
+#: Words that one index holds.
 BLOCK_WORDS = 1_500_000
+#: Places up to which an anchor's surroundings fit one index; those of a more frequent one are counted by their passages.
+ANCHOR_PLACES = BLOCK_WORDS // (2 * LEAST_WORDS)
 _FACTORS = mix(np.arange(2000, 2064, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -65,7 +68,7 @@ def anchors(h: np.ndarray, first: np.ndarray, least: int = LEAST_WORDS, size: in
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sames = column(batch, "id"), column(batch, "same")
+        ids, sames = batch.column(0), column(batch, "same")
         for lo, hi, buf, off in text_slices(batch.column(2)):
             h, _, _, first = words(buf, off)
             place, value = anchors(h, first)
@@ -73,7 +76,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = rows_of(first)[place] if len(place) else place
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[lo:hi], pa.int64()),
+                    ids.slice(lo, hi - lo),
                     pa.array(sames[lo:hi], pa.int64()),
                     pa.array(np.diff(first).astype(np.int32)),
                     pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64))),
@@ -122,28 +125,40 @@ def _surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class RunIndex:
-    """The run-length compressed index of a collection of word sequences."""
+    """The run-length compressed index of a collection of word sequences.
+
+    ``symbols`` and ``starts``: the runs of the transform.  ``heads`` and ``tails``:
+    the suffixes at the runs' first and last places, by place in the text, with
+    the suffix before (after) each of them in order, ``before`` (``after``), and
+    the heads' LCP with the former, ``common``.
+    """
 
     def __init__(self, text: np.ndarray, size: np.ndarray):
         """``text``: the sequences one after the other; ``size``: their lengths, each at least 1."""
         n = len(text) + len(size)
         end = np.cumsum(size + 1) - 1  # places of the end marks
-        mark = np.zeros(n, bool)
-        mark[end] = True
-        symbol = np.zeros(n, np.int64)
-        symbol[~mark] = np.unique(text, return_inverse=True)[1] + 1
-        self.segment = np.repeat(np.arange(len(size)), size + 1)
-        self.stop = end[self.segment]
-        self.n, self.symbol, self.mark = n, symbol, mark
+        self.mark = np.zeros(n, bool)
+        self.mark[end] = True
+        self.symbol = np.zeros(n, np.int64)
+        self.symbol[~self.mark] = np.unique(text, return_inverse=True)[1] + 1
+        self.segment = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+        self.stop, self.n = end[self.segment], n
         order = self._suffixes(int(size.max(initial=0)) + 1)
-        before = np.where(order > 0, symbol[order - 1], 0)  # the transform; 0 stands for an end mark, each a run of its own
+        last = np.where(order > 0, self.symbol[order - 1], 0)  # the transform; 0 stands for an end mark, each a run of its own
         head = np.ones(n, bool)
-        head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
-        border = np.flatnonzero(head)[1:]
-        self.runs = len(border) + 1
-        self.order = order
-        self.first, self.last = order[border], order[border - 1]  # samples: suffixes on both sides of each run's border
-        self.common = self._common(self.first, self.last)
+        head[1:] = (last[1:] != last[:-1]) | (last[1:] == 0)
+        self.starts = np.flatnonzero(head)
+        self.symbols = last[self.starts]
+        border = self.starts[1:]
+        at, previous = order[border], order[border - 1]
+        common = self._common(at, previous)
+        by = np.argsort(at)
+        self.heads, self.before, self.common = np.append(at[by], order[0]), np.append(previous[by], -1), np.append(common[by], 0)
+        by = np.argsort(self.heads)  # the first suffix of all is a head without one before it
+        self.heads, self.before, self.common = self.heads[by], self.before[by], self.common[by]
+        self.tails, self.after = np.append(previous, order[-1]), np.append(at, -1)
+        by = np.argsort(self.tails)
+        self.tails, self.after = self.tails[by], self.after[by]
 
     def _suffixes(self, longest: int) -> np.ndarray:
         """The suffixes in order of their words up to the end mark, equal ones by place: ranks of doubling lengths."""
@@ -192,70 +207,94 @@ class RunIndex:
             open_ = open_[(self.symbol[x] == self.symbol[y]) & ~self.mark[x]]
         return length
 
-    def common_prefixes(self) -> np.ndarray:
-        """The LCP of each suffix with the one before it in order, by place: streamed from the samples, one less for each word."""
-        sample = np.zeros(self.n, np.int64)
-        known = np.zeros(self.n, bool)
-        known[self.first] = True
-        known[self.order[0]] = True
-        sample[self.first] = self.common
-        source = np.maximum.accumulate(np.where(known, np.arange(self.n), 0))
-        return np.maximum(sample[source] - (np.arange(self.n) - source), 0)
-
-    def matching_statistics(self, owner: np.ndarray) -> np.ndarray:
-        """For each place the number of words from there on that occur in a sequence of another owner (0 at end marks).
-
-        ``owner``: by sequence.  The nearest suffixes of other owners above and
-        below share the least LCP on the way to them.
+    def preceding(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix before each one in order (-1: none), and their LCP, from the nearest head at or before it in the text."""
+        k = np.searchsorted(self.heads, place, side="right") - 1
+        gone = place - self.heads[k]
+        return np.where(self.before[k] >= 0, self.before[k] + gone, -1), np.maximum(self.common[k] - gone, 0)
+
+    def following(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix after each one in order (-1: none), and their LCP."""
+        k = np.searchsorted(self.tails, place, side="right") - 1
+        there = np.where(self.after[k] >= 0, self.after[k] + place - self.tails[k], -1)
+        return there, np.where(there >= 0, self.preceding(np.maximum(there, 0))[1], 0)
+
+    def matching_statistics(self, owner: np.ndarray, least: int = 1) -> np.ndarray:
+        """For each place the number of words from there on that occur in a sequence of another owner, 0 where they are fewer than ``least``.
+
+        ``owner``: by sequence.  The nearest suffixes of other owners before and
+        after share the least LCP on the way to them; ways over suffixes of one's
+        own are doubled in each round.
         """
-        lcp = self.common_prefixes()[self.order]
-        own = owner[self.segment[self.order]]
-        run = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
-        big = np.int64(1) << 40
-        up = np.minimum.accumulate(lcp - run * big) + run * big
-        up[run == 0] = 0
-        below = np.append(lcp[1:], 0)
-        back = run[-1] - run[::-1]
-        down = (np.minimum.accumulate(below[::-1] - back * big) + back * big)[::-1]
-        out = np.empty(self.n, np.int64)
-        out[self.order] = np.maximum(up, down)
+        out = np.zeros(self.n, np.int64)
+        ahead = np.flatnonzero(self.stop - np.arange(self.n) >= least)
+        row = np.full(self.n, -1)
+        row[ahead] = np.arange(len(ahead))
+        own = owner[self.segment[ahead]]
+        for step in (self.preceding, self.following):
+            there, length = step(ahead)
+            length = np.where(there >= 0, length, 0)
+            own_still = np.zeros(len(ahead), bool)
+            live = np.flatnonzero(length >= least)  # a neighbour that shares so many words has as many ahead
+            own_still[live] = owner[self.segment[there[live]]] == own[live]
+            while own_still.any():
+                at = np.flatnonzero(own_still)
+                over = row[there[at]]
+                moved, shared = there[over], np.minimum(length[at], length[over])
+                there[at], length[at] = moved, shared
+                own_still[at] = False
+                live = at[shared >= least]
+                own_still[live] = owner[self.segment[there[live]]] == own[live]
+            out[ahead] = np.maximum(out[ahead], np.where(length >= least, length, 0))
         return out
 
 
 def shared_spans(text: np.ndarray, size: np.ndarray, owner: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """For each sequence the first and the end place of its words in matches of ``least`` words or more with other owners; (0, 0) if none."""
     index = RunIndex(text, size)
-    found = index.matching_statistics(owner)
+    found = index.matching_statistics(owner, least)
     base = np.cumsum(size + 1) - size - 1
-    place = np.arange(index.n) - base[index.segment]
-    hit = found >= least
+    at = np.flatnonzero(found)
+    segment = index.segment[at]
+    place = at - base[segment]
     lo = np.full(len(size), np.iinfo(np.int64).max)
     hi = np.zeros(len(size), np.int64)
-    np.minimum.at(lo, index.segment[hit], place[hit])
-    np.maximum.at(hi, index.segment[hit], (place + found)[hit])
+    np.minimum.at(lo, segment, place)
+    np.maximum.at(hi, segment, place + found[at])
     return np.where(hi > 0, lo, 0), hi
 
 
-def _blocks(anchor: np.ndarray, size: np.ndarray, most: int) -> Iterator[list[np.ndarray]]:
-    """Rows to index together: whole anchors up to ``most`` words; the parts of a larger anchor in all pairs."""
+def _blocks(anchor: np.ndarray, size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Rows to index together: whole anchors, of at most ``most`` words where more than one."""
     edge = np.append(np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])), len(anchor))
     total = np.concatenate([[0], np.cumsum(size)])
     begin = 0
     while begin < len(edge) - 1:
-        stop = int(np.searchsorted(total[edge], total[edge[begin]] + most, side="right")) - 1
-        if stop > begin:
-            yield np.arange(edge[begin], edge[stop])
-            begin = stop
-            continue
-        cuts = np.unique(np.searchsorted(total, np.arange(total[edge[begin]], total[edge[begin + 1]], max(most // 2, 1))))
-        cuts = np.append(cuts[cuts < edge[begin + 1]], edge[begin + 1])
-        parts = [np.arange(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        for i in range(len(parts)):
-            for j in range(i + 1, len(parts)):
-                yield np.concatenate([parts[i], parts[j]])
-        if len(parts) == 1:
-            yield parts[0]
-        begin += 1
+        stop = max(int(np.searchsorted(total[edge], total[edge[begin]] + most, side="right")) - 1, begin + 1)
+        yield np.arange(edge[begin], edge[stop])
+        begin = stop
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of each passage of ``LEAST_WORDS`` words that holds a listed anchor, with its text and its first word."""
+    for batch in batches:
+        sames, places = column(batch, "same"), batch.column(2)
+        for lo, hi, buf, off in text_slices(batch.column(0)):
+            h, _, _, first = words(buf, off)
+            at = places.slice(lo, hi - lo)
+            count = np.diff(at.offsets.to_numpy())
+            row = np.repeat(np.arange(hi - lo), count)
+            here = first[row] + at.flatten().to_numpy().astype(np.int64)
+            start = (here[:, None] + np.arange(ANCHOR_WORDS - LEAST_WORDS, 1)).ravel()
+            row = np.repeat(row, LEAST_WORDS - ANCHOR_WORDS + 1)
+            ok = (start >= first[row]) & (start + LEAST_WORDS <= first[row + 1])
+            start, keep = np.unique(start[ok], return_index=True)
+            row = row[ok][keep]
+            power = mix(np.arange(len(h), dtype=np.uint64) + np.uint64(7)) | np.uint64(1)
+            value = np.zeros(len(start), np.uint64)
+            for k in range(LEAST_WORDS):
+                value += h[start + k] * power[k]
+            yield pa.RecordBatch.from_arrays([pa.array(mix(value).view(np.int64)), pa.array(sames[lo:hi][row]), pa.array((start - first[row]).astype(np.int32))], names=["passage", "same", "lo"])
 
 
 def _match(least: int, most: int):
@@ -301,40 +340,53 @@ def _match(least: int, most: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _copies_and_lone(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(same, n_words) of the texts that several ids have: they are repeated whole; and (id, same, anchors, places) of each text once, by its least id."""
+    texts = materialize(found.groupBy("same").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.first("n_words").alias("n_words")), "texts")
+    # rows that repeat id and text have the same anchors, which the counts below take once
+    return texts.filter("id <> other").select("same", "n_words"), found.join(texts.select("same", "id"), ["same", "id"]).select("id", "same", "anchors", "places")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_places: int = ANCHOR_PLACES) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): the passages of each document whose every word is in a run of ``LEAST_WORDS``
     words or more that another document has too.
 
     Words are numbered from 0, ``end_word`` is one beyond the last; they are runs of
     ASCII letters, digits and other characters than ASCII's, compared without the
-    case of ASCII letters.  Passages of a document don't touch.
+    case of ASCII letters.  Passages of a document don't touch.  An anchor at more
+    than ``anchor_places`` places of different texts, which no single index should
+    hold, has its passages counted by their hashes instead, with the same result.
 
     * A null, empty or shorter text has none; rows with a null id are left out.
     * Rows that repeat id and text count once; rows of one id with several texts
       are compared with each other too, and give their passages under that id.
     * Documents with the same text of at least that length are repeated whole.
-    * A repetition within one document doesn't count.  An empty table gives an
-      empty result; other columns are ignored.
+    * A repetition within one document doesn't count.  Ids keep their type.  A very
+      long text is read whole.  An empty table gives an empty result; other columns
+      are ignored.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id is not null and text is not null")
-    found = materialize(rows.select("id", F.xxhash64("text").alias("same"), "text").mapInArrow(_find, "id long, same long, n_words int, anchors array<long>, places array<int>").filter(F.col("n_words") >= LEAST_WORDS), "anchors")
-    texts = materialize(found.groupBy("same").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.first("n_words").alias("n_words")), "texts")
-    # one row for each text: copies are repeated whole and need no search
-    lone = found.join(texts.select("same", "id"), ["same", "id"]).select("same", "id", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("same", "id", "x.anchors", "x.places")
-    placed = lone.repartition("anchors")
-    shared = placed.groupBy("anchors").agg(F.min("same").alias("l"), F.max("same").alias("h")).filter("l <> h").select("anchors")
-    wanted = placed.join(shared, "anchors").distinct().groupBy("id", "same").agg(F.collect_list(F.struct("places", "anchors")).alias("x"))
-    wanted = materialize(wanted.select("id", "same", F.col("x.places").alias("places"), F.col("x.anchors").alias("anchors")), "wanted")
-    source = rows.withColumn("same", F.xxhash64("text")).join(wanted, ["id", "same"]).select("text", "same", "places", "anchors")
-    around = source.mapInArrow(_surround, "anchor long, context long, same long, start int, words binary")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id is not null and text is not null").withColumn("same", F.xxhash64("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    found = materialize(rows.select("id", "same", "text").mapInArrow(_find, f"id {kind}, same long, n_words int, anchors array<long>, places array<int>").filter(F.col("n_words") >= LEAST_WORDS), "anchors")
+    whole, lone = _copies_and_lone(found)
+    placed = lone.select("id", "same", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("id", "same", "x.anchors", "x.places")
+    shared = placed.groupBy("anchors").agg(F.min("same").alias("l"), F.max("same").alias("h"), F.count("*").alias("n")).filter("l <> h").select("anchors", (F.col("n") > anchor_places).alias("hot"))
+    wanted = placed.join(shared, "anchors").distinct().groupBy("id", "same", "hot").agg(F.collect_list(F.struct("places", "anchors")).alias("x"))
+    wanted = materialize(wanted.select("id", "same", "hot", F.col("x.places").alias("places"), F.col("x.anchors").alias("anchors")), "wanted")
+    source = rows.join(wanted, ["id", "same"]).select("text", "same", "places", "anchors", "hot")
+    around = source.filter("not hot").drop("hot").mapInArrow(_surround, "anchor long, context long, same long, start int, words binary")
     unique = around.groupBy("anchor", "context").agg(F.min("same").alias("low"), F.max("same").alias("high"), F.first("words").alias("words"))
     unique = unique.repartition("anchor").sortWithinPartitions("anchor", "context").select("anchor", "context", "low", "high", "words")
     spans = unique.mapInArrow(_match(LEAST_WORDS, BLOCK_WORDS), "anchor long, context long, lo int, hi int")
     marks = around.select("anchor", "context", "same", "start").join(spans, ["anchor", "context"]).select("same", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    copies = texts.filter("id <> other").select("same", F.lit(0).alias("lo"), F.col("n_words").alias("hi"))
+    if not wanted.filter("hot").isEmpty():
+        passages = materialize(source.filter("hot").select("text", "same", "places").mapInArrow(_passages, "passage long, same long, lo int"), "passages")
+        again = passages.groupBy("passage").agg(F.min("same").alias("l"), F.max("same").alias("h")).filter("l <> h").select("passage")
+        marks = marks.union(passages.join(again, "passage").select("same", "lo", (F.col("lo") + LEAST_WORDS).alias("hi")))
+    marks = marks.union(whole.select("same", F.lit(0).alias("lo"), F.col("n_words").alias("hi")))
     order = Window.partitionBy("same").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = marks.union(copies).withColumn("new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = marks.withColumn("new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("same", "island").agg(F.min("lo").alias("start_word"), F.max("hi").alias("end_word"))
     owners = found.select("same", F.col("id").alias("doc_id")).distinct()
     return owners.join(merged, "same").select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words")).distinct()
