@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -144,27 +144,50 @@ def skipped_pairs(rows: DataFrame, partition: str) -> Column:
 # --- proximity ---------------------------------------------------------------
 
 
+def greedy_matches(lines: Sequence[tuple[int, int]], chapters: Sequence[tuple[int, int]], tolerance: int) -> list[int | None]:
+    """The place of each line's chapter among (position, seconds) in order, or none."""
+    used, out = set(), []
+    for n, (_, t) in enumerate(lines):
+        near = [(abs(c - t), k) for k, (_, c) in enumerate(chapters) if k not in used and abs(c - t) <= tolerance]
+        pick = min(near)[1] if near else n if len(lines) == len(chapters) else None
+        used.add(pick)
+        out.append(pick)
+    return out
+
+
 def match_nearest(lines: DataFrame, chapters: DataFrame, key: str = "video_id", tolerance: int = 5) -> DataFrame:
     """(key, position, chapter): each line's chapter, one to one and greedily in the lines' order.
 
     The nearest unused chapter within the tolerance, the first of equals; else, where
     there are as many lines as chapters, the chapter at the same place (even if it is used).
+    Rows come sorted by key; a worker holds one key's at a time.
     """
-    a = lines.select(key, F.lit(0).alias("kind"), F.col("position").cast("int").alias("position"), F.col("timestamp_s").cast("int").alias("t"))
-    b = chapters.select(key, F.lit(1).alias("kind"), F.col("position").cast("int").alias("position"), F.col("timestamp_s").cast("int").alias("t"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf[pdf["kind"] == 0].sort_values("position")
-        theirs = pdf[pdf["kind"] == 1].sort_values("position")
-        times, places, used, out = theirs["t"].tolist(), theirs["position"].tolist(), set(), []
-        for n, (p, t) in enumerate(zip(mine["position"], mine["t"], strict=True)):
-            near = [(abs(x - t), k) for k, x in enumerate(times) if k not in used and abs(x - t) <= tolerance]
-            pick = min(near)[1] if near else n if len(mine) == len(times) else None
-            used.add(pick)
-            out.append((pdf[key].iloc[0], p, None if pick is None else places[pick]))
-        return pd.DataFrame(out, columns=[key, "position", "chapter"])
-
-    return a.unionByName(b).groupBy(key).applyInPandas(run, f"{key} {lines.schema[key].dataType.simpleString()}, position int, chapter int")
+    side = lambda df, kind: df.select(key, F.lit(kind).alias("kind"), F.col("position").cast("int").alias("position"), F.col("timestamp_s").cast("int").alias("t"))
+    rows = side(lines, 0).unionByName(side(chapters, 1)).repartition(key).sortWithinPartitions(key, "kind", "position")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, mine, theirs, out = None, [], [], []
+
+        def close() -> None:
+            for (p, _), k in zip(mine, greedy_matches(mine, theirs, tolerance), strict=True):
+                out.append((current, p, None if k is None else theirs[k][0]))
+
+        for pdf in frames:
+            for name, kind, p, t in zip(pdf[key].tolist(), pdf["kind"].tolist(), pdf["position"].tolist(), pdf["t"].tolist(), strict=True):
+                if name != current:
+                    close()
+                    current, mine, theirs = name, [], []
+                (theirs if kind else mine).append((p, t))
+            yield _matched(out, key)
+            out.clear()
+        close()
+        yield _matched(out, key)
+
+    return rows.mapInPandas(run, f"{key} {lines.schema[key].dataType.simpleString()}, position int, chapter int")
+
+
+def _matched(rows: list[tuple], key: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[key, "position", "chapter"]).astype({"chapter": "Int32"})
 
 
 def nearest_free(lines: DataFrame, chapters: DataFrame, key: str = "video_id", tolerance: int = 5) -> DataFrame:

@@ -81,6 +81,11 @@ def beam(tracks: Mapping[int, Mapping], edges: Mapping[int, Sequence[tuple[int,
     return list(max(states, key=lambda s: s[0])[1]) if size else []
 
 
+def outgoing_quality(edges: DataFrame, *pool: str) -> DataFrame:
+    """(pool, from_idx, quality): the mean and three quarters of the maximum of each track's outgoing scores, that to itself included."""
+    return edges.groupBy(*pool, "from_idx").agg((F.avg("score") + F.lit(0.75) * F.max("score")).alias("quality"))
+
+
 def beam_lists(tracks: DataFrame, edges: DataFrame, size: int | None, width: int = 8, candidates: int = 25, usage: Mapping[str, int] | None = None) -> DataFrame:
     """(pool, position, track_idx): the best list of each pool, one task for each; without a size a pool is ordered whole.
 
@@ -89,7 +94,7 @@ def beam_lists(tracks: DataFrame, edges: DataFrame, size: int | None, width: int
     the maximum of its outgoing edges.  Of its edges the best ``candidates + size``
     go to the search, which never looks further: at most ``size`` of them are used up.
     """
-    quality = edges.groupBy("pool", F.col("from_idx").alias("track_idx")).agg((F.avg("score") + F.lit(0.75) * F.max("score")).alias("quality"))
+    quality = outgoing_quality(edges, "pool").withColumnRenamed("from_idx", "track_idx")
     order = Window.partitionBy("pool", "from_idx").orderBy(F.desc("score"), "to_idx")
     best = edges.filter("from_idx <> to_idx").withColumn("rank", F.row_number().over(order))
     if size is not None:
@@ -202,6 +207,22 @@ def playlist_table(df: DataFrame, paths: DataFrame, edges: DataFrame, index: str
 # --- reports -----------------------------------------------------------------
 
 
+def ordered_lines(lists: DataFrame) -> DataFrame:
+    """(playlist_name, position, line): the tracks of generated lists as a terminal shows them."""
+    filled = lambda names: F.coalesce(*(F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in names if has(lists, c)), F.lit(None).cast("string"))
+    name = label(filled(ARTISTS), filled(TITLES), filled(("video_id",)), "<unknown track>")
+    score = F.col("transition_score_from_previous")
+    step = F.when(score.isNull(), F.lit("start")).otherwise(F.concat_ws(" ", F.col("transition_rating_from_previous"), F.format_string("%.3f", score)))
+    return lists.select("playlist_name", "position", F.concat(F.format_string("  %02d. ", "position"), name, F.lit(" ["), step, F.lit("]")).alias("line"))
+
+
+def summary_line(name: str, report: DataFrame) -> DataFrame:
+    """One line on a report: its mean and least score and the share of strong steps."""
+    row = report.agg(F.count("*").alias("n"), F.avg("transition_score").alias("a"), F.min("transition_score").alias("m"), F.avg((F.col("transition_score") >= 0.65).cast("double")).alias("s"))
+    full = F.format_string(f"{name}: avg %.3f, min %.3f, strong-or-better %.0f%% across %d transitions.", "a", "m", F.col("s") * 100, "n")
+    return row.select(F.when(F.col("n") == 0, F.lit(f"{name}: not enough tracks to rate transitions.")).otherwise(full).alias("line"))
+
+
 def track_labels(df: DataFrame, index: str = "track_idx") -> DataFrame:
     pick = lambda names: F.col(f"`{c}`") if (c := first_column(df, names)) else F.lit(None)
     return df.select(F.col(f"`{index}`").alias("idx"), label(pick(ARTISTS), pick(TITLES), pick(("video_id",))).alias("label"))

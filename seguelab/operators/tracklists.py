@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..functions.values import analysed, has
-from .relations import adjacent_pairs, fill_from, keep_first, match_nearest, upsert
+from ..functions.values import analysed, col_or, has
+from .relations import adjacent_pairs, keep_first, match_nearest
 
 LONGEST_SECONDS = 900
 UNAVAILABLE = ("[deleted video]", "[private video]")
@@ -186,26 +186,12 @@ def best_candidates(rows: DataFrame, candidates: DataFrame, keys: Sequence[str]
     return rows.select(*keys).join(chosen, keys, "left").withColumn("resolution_status", F.coalesce("resolution_status", F.lit("no_match")))
 
 
-def resolve_tracks(rows: DataFrame, candidates: DataFrame, cache: DataFrame | None = None, fold=X.folded) -> DataFrame:
-    """Track rows with their resolution; rows that the cache resolves under the same query aren't looked up again.
-
-    ``cache``: video_id, position, resolution_signature and the resolved columns.
-    """
-    sign = X.signature(4, X.plain_query(X.track_text(F.col("track_raw"))), "5")
-    rows = rows.withColumn("resolution_signature", sign)
-    if cache is None:
-        found = best_candidates(rows, candidates, fold=fold)
-    else:
-        known = cache.join(rows.select("video_id", "position", "resolution_signature"), ["video_id", "position", "resolution_signature"]).select("video_id", "position", *RESOLVED_COLUMNS)
-        todo = rows.join(known.select("video_id", "position"), ["video_id", "position"], "left_anti")
-        found = upsert(known, best_candidates(todo, candidates, fold=fold), ["video_id", "position"])
-    return rows.join(found, ["video_id", "position"], "left")
-
-
 def wanted_tracks(resolved: DataFrame) -> DataFrame:
     """One row for each resolved video, the first in the order of lists: what has to be analysed."""
     good = resolved.filter((F.col("resolution_status") == "resolved") & (F.trim("resolved_video_id") != ""))
-    return keep_first(good, ["resolved_video_id"], ["video_id", "position"]).select(F.col("resolved_video_id").alias("video_id"), F.col("resolved_title").alias("title"), F.col("resolved_artist").alias("artist"))
+    first = keep_first(good, ["resolved_video_id"], ["video_id", "position"])
+    unknown = [F.lit("").alias(c) for c in ("uploader", "channel", "description", "tags", "category")]
+    return first.select(F.col("resolved_video_id").alias("video_id"), F.col("resolved_title").alias("title"), F.col("resolved_artist").alias("artist"), F.col("resolved_url").alias("url"), *unknown)
 
 
 def attach_features(resolved: DataFrame, features: DataFrame, deep: bool = True) -> DataFrame:
@@ -217,11 +203,6 @@ def attach_features(resolved: DataFrame, features: DataFrame, deep: bool = True)
     return joined.withColumn("resolution_status", F.when(failed, "analysis_failed").otherwise(F.col("resolution_status")))
 
 
-def enrich(wanted: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Metadata fills what the tracks lack."""
-    return fill_from(wanted, metadata.withColumn("_order", F.lit(0)), "video_id", ["_order"])
-
-
 # --- pairs -------------------------------------------------------------------
 
 
@@ -246,7 +227,7 @@ def scrape_summary(videos: DataFrame, tracks: DataFrame, pairs: DataFrame) -> Da
         F.count("*").alias("tracks_parsed"),
         F.count_if(status.isin("resolved", "analysis_failed")).alias("tracks_resolved"),
         F.count_if(status == "unavailable").alias("tracks_unavailable"),
-        F.count_if(status == "no_match").alias("tracks_unresolved"),
+        F.count_if(~status.isin("resolved", "analysis_failed")).alias("tracks_unresolved"),
         F.count_if(status == "analysis_failed").alias("tracks_analysis_failed"),
     )
     c = pairs.agg(F.count("*").alias("positive_pairs"))
@@ -260,24 +241,39 @@ def share_text(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.format_string("%.1f%%", F.lit(100.0) * part / whole)).otherwise("n/a")
 
 
-def summary_text(summary: DataFrame) -> DataFrame:
-    """The counters as a report of a few lines."""
-    c = F.col
+def summary_text(summary: DataFrame, output: str = "", errors: str = "") -> DataFrame:
+    """The counters as a report of a line for each stage; a counter that the table lacks is 0."""
+    n = lambda c: F.coalesce(col_or(summary, c, 0).cast("long"), F.lit(0))
+    shown = lambda name, c, whole=None: F.concat(F.lit(f"{name}="), n(c).cast("string"), *([F.lit(" ("), share_text(n(c), whole), F.lit(")")] if whole is not None else []))
+    line = lambda head, *parts: F.concat(F.lit(f"- {head}: "), F.concat_ws(" ", *parts))
+    base = F.when(n("tracks_resolved") > 0, n("tracks_resolved")).otherwise(n("tracks_analyzed"))
     lines = [
-        F.concat(F.lit("Videos: "), c("videos_scanned").cast("string"), F.lit(", with tracks "), share_text(c("videos_with_tracklist"), c("videos_scanned"))),
-        F.concat(F.lit("Tracks: "), c("tracks_parsed").cast("string"), F.lit(", resolved "), share_text(c("tracks_resolved"), c("tracks_parsed")), F.lit(", unavailable "), share_text(c("tracks_unavailable"), c("tracks_parsed"))),
-        F.concat(F.lit("Pairs: "), c("positive_pairs").cast("string"), F.lit(", kept "), share_text(c("positive_pairs"), c("positive_pairs") + c("pairs_skipped"))),
+        F.lit("Training Scrape Report"),
+        F.lit(f"- Output CSV: {output}"),
+        F.lit(f"- Session Errors: {errors}"),
+        line("Sources", shown("channels_scanned", "channels_scanned"), shown("channels_failed", "channels_failed", n("channels_scanned"))),
+        line("Videos", shown("scanned", "videos_scanned"), shown("with_tracklist", "videos_with_tracklist", n("videos_scanned")), shown("skipped", "videos_skipped", n("videos_scanned"))),
+        line("Tracks", shown("parsed", "tracks_parsed"), *(shown(k, f"tracks_{k}", n("tracks_parsed")) for k in ("resolved", "unresolved", "unavailable"))),
+        line("Analysis", shown("analyzed_unique", "tracks_analyzed"), shown("with_features", "tracks_with_features", base), shown("analysis_failed", "tracks_analysis_failed", base)),
+        line("Pairs", shown("positive", "positive_pairs"), shown("skipped", "pairs_skipped"), F.concat(F.lit("kept_rate="), share_text(n("positive_pairs"), n("positive_pairs") + n("pairs_skipped")))),
+        line("Logged issues", shown("warnings", "warning_count"), shown("errors", "error_count")),
     ]
     return summary.select(F.concat_ws("\n", *lines).alias("report"))
 
 
-def training_pairs(videos: DataFrame, candidates: DataFrame, features: DataFrame, deep: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The chain: videos' tracks, their resolution, their features, adjacent pairs.  Returns the tracks and the pairs."""
-    tracks = attach_features(resolve_tracks(source_rows(videos), candidates), features, deep)
-    return tracks, transition_pairs(tracks, deep)
+#: What the export of training pairs holds, in this order: a pair's own columns, then those of both sides.
+_EXPORT_PAIR = "video_id label label_source channel_handle channel_url video_title video_url".split()
+_BOTH = lambda *names: [f"{side}_{n}" for n in names for side in ("from", "to")]
+_EACH = lambda *names: [f"{side}_{n}" for side in ("from", "to") for n in names]
+EXPORT_COLUMNS = [
+    *_EXPORT_PAIR, *_BOTH("position"), "transition_duration_s", *_BOTH("track_raw"), *_EACH("artist_guess", "title_guess"), *_BOTH("track_source", "video_id"),
+    *_EACH(*(f"resolved_{n}" for n in ("title", "artist", "url", "duration_seconds"))), *_BOTH("uploader", "channel", "category", "tags", "description"),
+]
 
 
 def compact_pairs(pairs: DataFrame) -> DataFrame:
-    """For export: text columns of several lines on one line, numeric features of the tracks left out."""
-    kept = [c for c in pairs.columns if not (c.startswith(("from_", "to_")) and isinstance(pairs.schema[c].dataType, T.DoubleType))]
-    return pairs.select(*(X.one_line(F.col(c)).alias(c) if c.endswith("_description") else F.col(c) for c in kept))
+    """For export: the listed columns that are there, in their order, descriptions on one line; of an empty table all of them."""
+    every = pairs.isEmpty()
+    there = [c for c in EXPORT_COLUMNS if every or has(pairs, c)]
+    shown = lambda c: X.one_line(F.col(c)) if c.endswith("_description") else F.col(c)
+    return pairs.select(*((shown(c) if has(pairs, c) else F.lit(None).cast("string")).alias(c) for c in there))

@@ -32,15 +32,14 @@ _KEYS = (("key", 12), ("mode", 2), ("intro_key", 12), ("intro_mode", 2), ("outro
 
 def pool(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
     """The pool's table; of named columns no others are made."""
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    cents, key = F.round(F.col("s_acctbal") * 100).cast("long"), F.col("s_suppkey")
-    h = lambda k, m: F.pmod(cents * (2 * k + 3) + key * (k + 7) * 13, F.lit(m))
-    pick = lambda values, k: F.element_at(F.array(*(F.lit(v) for v in values)), (h(k, len(values)) + 1).cast("int"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_acctbal", F.round(F.col("s_acctbal") * 100).cast("long").alias("cents"))
+    h = lambda k, m: f"pmod(cents * {2 * k + 3} + s_suppkey * {(k + 7) * 13}, {m})"
+    pick = lambda values, k: f"element_at(array({', '.join(map(quote, values))}), cast({h(k, len(values))} + 1 as int))"
     wanted = lambda n: columns is None or n in columns
-    made = {"track_idx": lambda: key, "s_nationkey": lambda: F.col("s_nationkey"), "s_acctbal": lambda: F.col("s_acctbal"), "artist": lambda: F.concat(F.lit("artist "), F.col("s_nationkey").cast("string")), "title": lambda: pick(TITLES, 300), "tags": lambda: pick(TAGS, 301)}
-    made |= {n: (lambda k=k, m=m: h(200 + k, m).cast("int")) for k, (n, m) in enumerate(_KEYS)}
-    made |= {n: (lambda k=k, lo=lo, hi=hi: F.lit(lo) + F.lit(hi - lo) * (h(k, 997).cast("double") / F.lit(996.0))) for k, n in enumerate(NAMES) for lo, hi in (_bounds(n),)}
-    table = s.select(*(c().alias(n) for n, c in made.items() if wanted(n)))
+    made = {"track_idx": "s_suppkey", "s_nationkey": "s_nationkey", "s_acctbal": "s_acctbal", "artist": "concat('artist ', s_nationkey)", "title": pick(TITLES, 300), "tags": pick(TAGS, 301)}
+    made |= {n: f"cast({h(200 + k, m)} as int)" for k, (n, m) in enumerate(_KEYS)}
+    made |= {n: f"{lo}D + {hi - lo}D * (cast({h(k, 997)} as double) / 996D)" for k, n in enumerate(NAMES) for lo, hi in (_bounds(n),)}
+    table = s.selectExpr(*(f"{c} as `{n}`" for n, c in made.items() if wanted(n)))
     return materialize(table, "pool") if columns is None else table
 
 

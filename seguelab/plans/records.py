@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as X
-from ..functions.values import clip_or_null, coerce_features, filled, group_name, human_bytes, nan_to_null, rating, rating_sql, rename_features
+from ..functions.values import ANALYSED, clip_or_null, coerce_features, filled, group_name, human_bytes, nan_to_null, rating, rating_sql, rename_features
 from ..operators import relations as R
 from ..operators.model import Spec, pair_features
 from ..operators.search import export_batches
+from ..operators.tracklists import attach_features
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -223,9 +224,12 @@ def valid_keys(spark, sf_dir):
 
 
 def left_join_features(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels")
-    joined = docs.join(labels, "doc_id", "left")
-    return joined.select("doc_id", "lang", "quality", "toxic", (F.col("quality").isNotNull() & F.col("toxic").isNotNull()).alias("analysed"))
+    """Documents as resolved tracks, their labels as what an analysis gives; one without labels has no whole analysis."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    tracks = docs.select(F.col("doc_id").cast("string").alias("resolved_video_id"), "lang", F.when(F.col("lang") == "fr", "no_match").otherwise("resolved").alias("resolution_status"))
+    features = labels.select(F.col("doc_id").cast("string").alias("video_id"), *(F.col(c).cast("double").alias(n) for n, c in zip(ANALYSED, ("quality", "toxic") * len(ANALYSED), strict=False)))
+    joined = attach_features(tracks, features, deep=False)
+    return joined.select(F.col("resolved_video_id").cast("long").alias("doc_id"), "lang", "resolution_status", *ANALYSED[:2])
 
 
 def merge_tasks(spark, sf_dir):
@@ -303,7 +307,7 @@ QUERIES = {
     "overlay_join": (overlay_join, OVERLAY),
     "cache_probe": (cache_probe, PROBE),
     "valid_keys": (valid_keys, "select o_custkey from orders group by 1 having bool_and(coalesce(o_orderstatus = 'O', false))"),
-    "left_join_features": (left_join_features, "select doc_id, lang, quality, toxic, quality is not null and toxic is not null as analysed from documents left join labels using (doc_id)"),
+    "left_join_features": (left_join_features, "select doc_id, lang, case when lang = 'fr' then 'no_match' when quality is null or toxic is null then 'analysis_failed' else 'resolved' end as resolution_status, quality::DOUBLE as tempo, toxic::DOUBLE as key from documents left join labels using (doc_id)"),
     "merge_tasks": (merge_tasks, MERGE),
     "proximity_join": (proximity_join, PROXIMITY),
     "proximity_greedy": (proximity_greedy, None),

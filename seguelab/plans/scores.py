@@ -9,6 +9,7 @@ from ..operators import genre as G
 from ..operators import graph as S
 from ..operators import model as M
 from ..operators import pairs as P
+from ..operators import search as L
 from ..session import materialize
 from .pool import keyword_sql, moods_sql, moods_table_sql, pair_scores_sql, pool, pool_sql, prototype_sql, votes_sql
 from .records import adjacent_pairs, table
@@ -47,7 +48,7 @@ select from_idx, to_idx, round(score, 6) as score from e qualify row_number() ov
 
 def outgoing_quality(spark, sf_dir):
     edges = P.score_pairs(pool(spark, sf_dir))
-    return edges.groupBy("from_idx").agg(F.round(F.avg("score") + F.lit(0.75) * F.max("score"), 6).alias("quality"))
+    return _rounded(L.outgoing_quality(edges), "quality")
 
 
 QUALITY = pair_scores_sql() + " select from_idx, round(avg(score) + 0.75::DOUBLE * max(score), 6) as quality from pair_scores group by 1"
@@ -94,8 +95,16 @@ def genre_keyword(spark, sf_dir):
     return pool(spark, sf_dir, ("track_idx", "title")).select("track_idx", g.alias("g")).select("track_idx", "g.genre", F.round("g.confidence", 6).alias("confidence"))
 
 
+#: The other text fields, from the titles and tags in another order; a list of titles and one of tags.
+_MORE = {"uploader": "concat('dj ', tags)", "channel": "title", "category": "split(tags, ' ')[0]", "description": "concat_ws(' / ', title, tags, artist)", "genre": "if(track_idx % 3 = 0, tags, '')", "genres": "if(track_idx % 5 = 0, title, '')"}
+_MORE_SQL = _MORE | {"category": "string_split(tags, ' ')[1]", "genre": "case when track_idx % 3 = 0 then tags else '' end", "genres": "case when track_idx % 5 = 0 then title else '' end"}
+_TEXTS = ("track_idx", "title", "artist", "tags")
+
+
 def genre_votes(spark, sf_dir):
-    return G.add_field_votes(pool(spark, sf_dir).select("track_idx", "title", "artist", "tags")).select("track_idx", "vote.genre", F.round("vote.confidence", 6).alias("confidence"))
+    """The votes of all nine text fields."""
+    rows = pool(spark, sf_dir, _TEXTS).selectExpr("*", *(f"{v} as {k}" for k, v in _MORE.items()))
+    return G.add_field_votes(rows).select("track_idx", "vote.genre", F.round("vote.confidence", 6).alias("confidence"))
 
 
 def genre_prototype(spark, sf_dir):
@@ -213,7 +222,7 @@ QUERIES = {
     "key_table": (key_table, KEY_TABLE),
     "pairwise_similarity": (pairwise_similarity, PAIRWISE),
     "genre_keyword": (genre_keyword, f"select track_idx, g.genre, round(g.confidence, 6) as confidence from (select track_idx, {keyword_sql('title')} as g from {pool_sql(("track_idx", "title"))})"),
-    "genre_votes": (genre_votes, f"select track_idx, genre, round(confidence, 6) as confidence from {votes_sql(pool_sql())}"),
+    "genre_votes": (genre_votes, f"select track_idx, genre, round(confidence, 6) as confidence from {votes_sql('(select *, ' + ', '.join(f'{v} as {k}' for k, v in _MORE_SQL.items()) + ' from ' + pool_sql(_TEXTS) + ')', tuple(G.FIELDS))}"),
     "genre_prototype": (genre_prototype, f"select track_idx, genre, round(confidence, 6) as confidence from {prototype_sql(moods_table_sql())}"),
     "genre_resolve": (genre_resolve, RESOLVE),
     "style_clusters": (style_clusters, None),

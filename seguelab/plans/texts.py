@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import caches
 from ..operators import tracklists as T
 from .records import table
 
@@ -41,13 +42,13 @@ def source_rows(spark, sf_dir):
     return T.source_rows(d.join(chapters, "video_id").withColumns({"video_id": F.col("video_id").cast("string"), "title": F.lit("a mix"), "channel_url": F.lit("https://www.youtube.com/@someone/videos")}))
 
 
-_NAMES = ("'00:45 - ' || p_name || ' - ' || p_brand", "p_name || ' (Official Audio) [2019]'", "'12:01:02 ' || p_name || ' (slowed by me) - '", "p_name || ' - ' || p_brand || ' – x'", "'( - ' || p_name || ' ) https://youtu.be/abc ;'", "'  '")
+_NAMES = ("'00:45 - ' || p_name || ' - ' || p_brand", "p_name || ' (Official Audio) [2019]'", "'12:01:02 ' || p_name || ' GRÖßE Straße É (slowed by me) - '", "p_name || ' - ' || p_brand || ' – x'", "'( - ' || p_name || ' ) https://youtu.be/abc ;'", "'  '")
 
 
 def _names(spark, sf_dir):
     n, b = F.col("p_name"), F.col("p_brand")
     lit = F.lit
-    shapes = F.array(F.concat(lit("00:45 - "), n, lit(" - "), b), F.concat(n, lit(" (Official Audio) [2019]")), F.concat(lit("12:01:02 "), n, lit(" (slowed by me) - ")), F.concat(n, lit(" - "), b, lit(" – x")), F.concat(lit("( - "), n, lit(" ) https://youtu.be/abc ;")), lit("  "))
+    shapes = F.array(F.concat(lit("00:45 - "), n, lit(" - "), b), F.concat(n, lit(" (Official Audio) [2019]")), F.concat(lit("12:01:02 "), n, lit(" GRÖßE Straße É (slowed by me) - ")), F.concat(n, lit(" - "), b, lit(" – x")), F.concat(lit("( - "), n, lit(" ) https://youtu.be/abc ;")), lit("  "))
     return table(spark, sf_dir, "part").select("p_partkey", F.element_at(shapes, (F.pmod("p_partkey", F.lit(6)) + 1).cast("int")).alias("raw"))
 
 
@@ -109,15 +110,16 @@ def context_text(spark, sf_dir):
 
 
 def token_overlap(spark, sf_dir):
-    rows = _names(spark, sf_dir).withColumn("m", X.match_text(F.col("raw"), F.lower))
-    brand = table(spark, sf_dir, "part").select("p_partkey", X.match_text(F.concat("p_name", F.lit(" by "), "p_type"), F.lower).alias("n"))
+    rows = _names(spark, sf_dir).withColumn("m", X.match_text(F.col("raw")))
+    brand = table(spark, sf_dir, "part").select("p_partkey", X.match_text(F.concat("p_name", F.lit(" by größe STRASSE "), "p_type")).alias("n"))
     return rows.join(brand, "p_partkey").select("p_partkey", F.round(X.overlap(X.tokens(F.col("m")), X.tokens(F.col("n"))), 6).alias("overlap"))
 
 
-_MATCH = lambda c: rf"trim(regexp_replace(lower({X.track_text_sql(c)}), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g'))"
-_TOKENS = lambda c: f"list_filter(list_distinct(string_split({c}, ' ')), lambda x: x <> '' and x not in ({', '.join(map(X.quote, X.FILLER))}) and length(x) >= 2)"
+#: The tables hold no other character than the sharp s that folds to something else than its lower case.
+_MATCH = lambda c: rf"trim(regexp_replace(replace(lower({X.track_text_sql(c)}), 'ß', 'ss'), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g'))"
+_TOKENS = lambda c: f"list_filter(list_distinct(string_split({c}, ' ')), lambda x: x <> '' and x not in ({', '.join(map(X.quote, X.FILLER))}) and strlen(x) >= 2)"  # bytes: a single character counts where it is not ASCII
 _OVERLAP = lambda e, a: f"(case when len({e}) > 0 then len(list_intersect({e}, {a}))::DOUBLE / len({e}) else 0::DOUBLE end)"
-OVERLAP = f"""with a as (select p_partkey, {_MATCH('raw')} as m from {_NAME_TABLE}), b as (select p_partkey, {_MATCH("p_name || ' by ' || p_type")} as n from part),
+OVERLAP = f"""with a as (select p_partkey, {_MATCH('raw')} as m from {_NAME_TABLE}), b as (select p_partkey, {_MATCH("p_name || ' by größe STRASSE ' || p_type")} as n from part),
 t as (select p_partkey, {_TOKENS('m')} as x, {_TOKENS('n')} as y from a join b using (p_partkey)) select p_partkey, round({_OVERLAP('x', 'y')}, 6) as overlap from t"""
 
 
@@ -126,7 +128,7 @@ def _candidates(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     q = p.select(F.col("p_name").alias("qn")).distinct()
     side = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("id"), F.min("p_size").alias("size"))
-    return q.join(side, F.col("qn") == F.col("p_name")).select(X.plain_query(F.concat("qn", F.lit(" official audio"))).alias("query"), F.col("id").alias("rank"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"), F.concat("p_name", F.when(F.col("size") > 25, F.lit(" playlist")).otherwise(F.lit(""))).alias("title"), F.col("p_brand").alias("uploader"), F.when(F.col("size") != 7, F.col("size") * 40).alias("duration"), F.when(F.col("size") == 3, F.lit("private")).alias("availability"), F.lit("").alias("url"))
+    return q.join(side, F.col("qn") == F.col("p_name")).select(X.plain_query(F.concat("qn", F.lit(" official audio"))).alias("query"), F.col("id").alias("rank"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"), F.concat("p_name", F.when(F.col("size") > 25, F.lit(" playlist")).otherwise(F.lit(""))).alias("title"), F.concat("p_brand", F.lit(" Größe")).alias("uploader"), F.when(F.col("size") != 7, F.col("size") * 40).alias("duration"), F.when(F.col("size") == 3, F.lit("private")).alias("availability"), F.lit("").alias("url"))
 
 
 def _asked(spark, sf_dir):
@@ -134,28 +136,43 @@ def _asked(spark, sf_dir):
 
 
 def resolve_top1(spark, sf_dir):
-    rows = T.best_candidates(_asked(spark, sf_dir), _candidates(spark, sf_dir), fold=F.lower)
+    rows = T.best_candidates(_asked(spark, sf_dir), _candidates(spark, sf_dir))
     return rows.select(F.col("video_id").cast("long").alias("p_partkey"), "resolution_status", "resolved_video_id", "resolved_title", "resolved_artist", "resolved_duration_seconds")
 
 
-_CANDIDATES = """ca as (select p_name as qn, min(p_partkey) as rk, 'v' || min(p_partkey)::VARCHAR as id, p_name || case when min(p_size) > 25 then ' playlist' else '' end as title, p_brand as artist, case when min(p_size) <> 7 then min(p_size) * 40 end as duration, coalesce(min(p_size) = 3, false) as gone from part group by p_name, p_brand)"""
-_SCORED = f"""{_CANDIDATES},
-mt as (select qn, rk, id, title, artist, duration, gone, {_MATCH("qn || ' official audio'")} as mq, {_MATCH('title')} as ti, {_MATCH('artist')} as ar, {_MATCH("artist || ' ' || title")} as al from ca),
-tk as (select *, {_TOKENS('mq')} as e, {_TOKENS('ti')} as x, {_TOKENS('ar')} as y, {_TOKENS('al')} as z from mt),
-ov as (select *, {_OVERLAP('e', 'list_distinct(list_concat(x, y))')} as o1, {_OVERLAP('e', 'x')} as o2, {_OVERLAP('e', 'z')} as o3 from tk),
-sc as (select *, 1.1::DOUBLE * o1 + 0.9::DOUBLE * o2 + case when contains(al, mq) then 0.6::DOUBLE when len(list_filter(e, lambda w: not contains(al, w))) = 0 then 0.3::DOUBLE else 0::DOUBLE end + case when duration <= 600 then 0.15::DOUBLE else 0::DOUBLE end
+_CANDIDATES = """ca as (select p_name as qn, min(p_partkey) as rk, 'v' || min(p_partkey)::VARCHAR as id, p_name || case when min(p_size) > 25 then ' playlist' else '' end as title, p_brand || ' Größe' as artist, case when min(p_size) <> 7 then min(p_size) * 40 end as duration, coalesce(min(p_size) = 3, false) as gone from part group by p_name, p_brand)"""
+_SIDE = lambda c, k: f"case when len(string_split_regex({c}, '{X.SEPARATOR}')) = 2 then trim(string_split_regex({c}, '{X.SEPARATOR}')[{k}]) else '' end"
+
+
+def _scored(track: str) -> str:
+    """The candidates of ``ca`` scored for a track's text; a text with one separator counts by the better way round."""
+    both, o = "list_distinct(list_concat(x, y))", _OVERLAP
+    way = f"case when le <> '' then greatest(0.65::DOUBLE * {o('lt', 'y')} + 0.35::DOUBLE * {o('rt', 'x')}, 0.65::DOUBLE * {o('rt', 'y')} + 0.35::DOUBLE * {o('lt', 'x')}, 0.5::DOUBLE * {o('lt', both)} + 0.5::DOUBLE * {o('rt', both)}) else 0::DOUBLE end"
+    return f"""{_CANDIDATES},
+tr as (select *, {X.track_text_sql(track)} as clean from ca),
+mt as (select *, {_SIDE('clean', 1)} as le, {_SIDE('clean', 2)} as ri, {_MATCH('clean')} as mq, {_MATCH('title')} as ti, {_MATCH('artist')} as ar, {_MATCH("artist || ' ' || title")} as al from tr),
+tk as (select *, {_TOKENS('mq')} as e, {_TOKENS('ti')} as x, {_TOKENS('ar')} as y, {_TOKENS('al')} as z, {_TOKENS(_MATCH('le'))} as lt, {_TOKENS(_MATCH('ri'))} as rt from mt),
+ov as (select *, {o('e', both)} as o1, {o('e', 'x')} as o2, {o('e', 'z')} as o3, {way} as way from tk),
+sc as (select *, 1.1::DOUBLE * o1 + 0.9::DOUBLE * o2 + 1.2::DOUBLE * way + case when contains(al, mq) then 0.6::DOUBLE when len(list_filter(e, lambda w: not contains(al, w))) = 0 then 0.3::DOUBLE else 0::DOUBLE end + case when duration <= 600 then 0.15::DOUBLE else 0::DOUBLE end
  - case when regexp_matches(title, {X.quote(X.NOISE)}) and o1 < 0.85::DOUBLE then 0.7::DOUBLE else 0::DOUBLE end - case when duration is null then 0.05::DOUBLE else 0::DOUBLE end as score from ov)"""
+
+
+_SCORED = _scored("qn || ' official audio'")
 RESOLVE = f"""with {_SCORED}, r as (select * from sc qualify row_number() over (partition by qn order by gone, score desc, o3 desc, coalesce(duration, 901), rk) = 1),
 st as (select *, case when gone then 'unavailable' when score < 1.05::DOUBLE or (o3 < 0.5::DOUBLE and score < 1.45::DOUBLE) then 'no_match' else 'resolved' end as s from r)
 select p_partkey, s as resolution_status, case when s = 'resolved' then id end as resolved_video_id, case when s = 'resolved' then title end as resolved_title, case when s = 'resolved' then artist end as resolved_artist, case when s = 'resolved' then duration::INTEGER end as resolved_duration_seconds from part join st on p_name = qn"""
 
 
 def candidate_match(spark, sf_dir):
-    c = _candidates(spark, sf_dir).withColumn("track", F.col("query"))
-    return T.add_match(c, "track", "title", "uploader", "duration", F.lower).select("id", F.round("overlap", 6).alias("overlap"), F.round("match_score", 6).alias("match_score"))
+    """Candidates for tracks with a separator and without one."""
+    c = _candidates(spark, sf_dir)
+    other = F.concat(F.regexp_replace("query", " official audio$", ""), F.lit(" – "), F.col("uploader"))
+    c = c.withColumn("track", F.when(F.col("rank") % 3 == 0, F.col("query")).when(F.col("rank") % 3 == 1, other).otherwise(F.concat(F.col("uploader"), F.lit(" - "), F.col("query"))))
+    return T.add_match(c, "track", "title", "uploader", "duration").select("id", F.round("overlap", 6).alias("overlap"), F.round("match_score", 6).alias("match_score"))
 
 
-MATCH = f"with {_SCORED} select id, round(o3, 6) as overlap, round(score, 6) as match_score from sc"
+_TRACK = "case when rk % 3 = 0 then lower(qn) || ' official audio' when rk % 3 = 1 then lower(qn) || ' – ' || artist else artist || ' - ' || lower(qn) || ' official audio' end"
+MATCH = f"with {_scored(_TRACK)} select id, round(o3, 6) as overlap, round(score, 6) as match_score from sc"
 
 
 def training_pairs(spark, sf_dir):
@@ -165,8 +182,7 @@ def training_pairs(spark, sf_dir):
     names = rows.select(F.col("track_raw").alias("title")).distinct()
     found = names.select(X.plain_query(X.track_text(F.col("title"))).alias("query"), F.lit(1).alias("rank"), F.concat(F.lit("w"), F.substring(F.md5("title"), 1, 10)).alias("id"), "title", F.lit("").alias("uploader"), F.lit(200).alias("duration"), F.lit("").alias("availability"), F.lit("").alias("url")).dropDuplicates(["query"])
     features = found.select(F.col("id").alias("video_id"), *(F.lit(1.0).alias(c) for c in ("tempo", "key", "mode", "intro_tempo", "outro_tempo", "intro_seconds_used", "outro_seconds_used")))
-    tracks, pairs = T.training_pairs(videos.withColumn("chapters", F.array().cast("array<struct<start_time:double,title:string>>")), found, features, deep=False)
-    return T.scrape_summary(videos, tracks, pairs)
+    return caches.training_pairs(videos.withColumn("chapters", F.array().cast("array<struct<start_time:double,title:string>>")), found, features, deep=False)[2]
 
 
 QUERIES = {

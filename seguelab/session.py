@@ -65,7 +65,11 @@ def drop_table(df: DataFrame) -> None:
 
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+    """A session for tests and benchmarks on one machine.
+
+    Column expressions don't record the Python calls that made them: in wide plans
+    that takes longer than all else.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -74,6 +78,7 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

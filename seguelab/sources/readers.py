@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 import tomllib
 from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import text as X
 from ..functions.values import known_first, trim_headers
+from ..operators.caches import FEATURE_KEY, normalise_features
 from ..operators.relations import keep_first, number_rows
 
 ROWS_A_PART = 100_000
@@ -91,6 +94,36 @@ def read_cache(spark: SparkSession, path: str, columns: Sequence[str], table: st
     return known_first(read_csv(spark, str(csv)), columns, fill=True)
 
 
+def read_feature_cache(spark: SparkSession, path: str) -> DataFrame:
+    """A feature cache in its present form; one without ids gives a warning and is empty."""
+    return normalise_features(read_cache(spark, path, FEATURE_KEY, "audio_features"))
+
+
+def read_json_objects(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """(name, the schema's columns) of the JSON files of a folder, the name without its suffix; what isn't an object is left out."""
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(f"{folder}/*.json")
+    names = [c for c in rows.columns if c != "_corrupt_record"]
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    return rows.select(stem.alias("name"), *names, "_corrupt_record").filter("_corrupt_record is null").drop("_corrupt_record")
+
+
+def read_json_object(path: str) -> dict | None:
+    """One small document's object; none where there is no file or it holds something else."""
+    if not Path(path).exists():
+        return None
+    value = json.loads(Path(path).read_text(encoding="utf-8"))
+    return value if isinstance(value, dict) else None
+
+
+def list_videos(entries: DataFrame, limit: int | None = None) -> DataFrame:
+    """(video_id, video_title, video_url) of a channel's entries (n, id, title, url): ids once, in order, at most ``limit``."""
+    rows = entries.withColumn("id", X.text_or_empty(F.col("id"))).filter("id <> ''")
+    first = keep_first(rows, ["id"], ["n"])
+    url = F.col("url") if "url" in entries.columns else F.lit("")
+    listed = first.select("n", F.col("id").alias("video_id"), X.text_or_empty(F.col("title")).alias("video_title"), X.video_url(F.col("id"), url).alias("video_url"))
+    return (listed if limit is None else listed.orderBy("n").limit(limit)).drop("n")
+
+
 def read_legacy_json(spark: SparkSession, folder: str, features: Mapping[str, str]) -> DataFrame:
     """(video_id, cache_version, features): one JSON file for each id, its name; files without an object ``features`` are skipped."""
     inner = ", ".join(f"`{k}`: {v}" for k, v in features.items())
@@ -141,3 +174,31 @@ def training_sources(settings: Mapping, channel_url: str | None = None) -> list[
     return [{"kind": kind(u), "url": u} for u in dict.fromkeys(listed)]
 
 
+def resource_settings(profile: str | None = None, download_workers: int = 4, analysis_workers: int = 4) -> dict:
+    """Workers by profile: ``background`` has one of each in a process of its own, any other name counts as ``default``."""
+    name = (profile or "default").strip().lower()
+    quiet = name == "background"
+    least = lambda n: 1 if quiet else max(int(n or 1), 1)
+    return {"resource_profile": name if quiet else "default", "download_workers": least(download_workers), "analysis_workers": least(analysis_workers), "force_process_pool": quiet}
+
+
+def repaired_cookie_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(n, line) of a cookie table's usable lines, and one row of how many were repaired and dropped.
+
+    ``lines``: n, line.  Comments, blank lines and those of seven fields stay.  A line
+    of four fields takes the next one where that starts with a tab and makes seven
+    of them; all others go, as does a next one that was taken.
+    """
+    fields = lambda c: F.size(F.split(c, "\t"))
+    follows = Window.orderBy("n")  # a file of one user's cookies
+    rows = lines.withColumn("line", F.regexp_replace(F.coalesce("line", F.lit("")), "[\r\n]+$", "")).withColumn("after", F.lead("line").over(follows))
+    good = (F.col("line") == "") | F.col("line").startswith("#") | (fields(F.col("line")) == 7)
+    broken = ~good & (fields(F.col("line")) == 4) & F.coalesce(F.col("after").startswith("\t") & (fields(F.col("after")) == 4) & (fields(F.concat("line", "after")) == 7), F.lit(False))
+    marked = rows.withColumns({"good": good, "joins": broken})
+    # of lines that each could take the next one, every second does
+    run = marked.withColumn("start", F.when(~F.col("joins"), F.col("n"))).withColumn("since", F.max("start").over(follows.rowsBetween(Window.unboundedPreceding, 0)))
+    turn = F.row_number().over(Window.partitionBy("since").orderBy("n"))
+    placed = run.withColumn("turn", F.when(F.col("joins"), turn - F.when(F.col("since").isNull(), 0).otherwise(1))).withColumn("joins", F.coalesce(F.col("joins") & (F.col("turn") % 2 == 1), F.lit(False)))
+    placed = placed.withColumn("taken", F.coalesce(F.lag("joins").over(follows), F.lit(False)))
+    kept = placed.filter("(good or joins) and not taken").select("n", F.when(F.col("joins"), F.concat("line", "after")).otherwise(F.col("line")).alias("line"))
+    return kept, placed.agg(F.count_if("joins").alias("repaired"), F.count_if(F.expr("not good and not joins and not taken")).alias("dropped"))
