@@ -168,7 +168,8 @@ def _links(kept: DataFrame, threshold: float, part_rows: int) -> DataFrame:
     most = most_different(threshold)
     members = kept.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    met = materialize(members.join(buckets, "key").filter("node <> leader"), "buckets")
+    # one short row for each bucket: hashed, so that the bands, many to each text, needn't be sorted
+    met = materialize(members.join(buckets.hint("shuffle_hash"), "key").filter("node <> leader"), "buckets")
     sketches = kept.select("node", "sketch")
     pairs = met.select("node", "leader").distinct().join(sketches.withColumnRenamed("sketch", "own"), "node")
     pairs = pairs.join(sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("other")), "leader")
