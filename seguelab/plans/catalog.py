@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lists, records, scores, texts
+from . import chains, lists, records, scores, texts
+
+_MODULES = (records, scores, lists, texts, chains)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for module in (records, scores, lists, texts) for name, (query, _) in module.QUERIES.items()}
+    return {name: query for module in _MODULES for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql() if callable(sql) else sql for module in (records, scores, lists, texts) for name, (_, sql) in module.QUERIES.items() if sql}
+    return {name: sql() if callable(sql) else sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}
