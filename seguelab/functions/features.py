@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .values import clip, has, min_max, number
+from .values import NUMBER, clip, has, min_max, number
 
 MOODS = ("sentiment_valence", "sentiment_arousal", "sentiment_tension", "sentiment_warmth")
 MOOD_PREFIXES = ("", "intro_", "outro_")
@@ -28,6 +28,15 @@ def feature(df: DataFrame, name: str, default: float = 0.0) -> Column:
     return F.coalesce(c.cast("double") if isinstance(df.schema[name].dataType, NumericType) else number(c), F.lit(float(default)))
 
 
+def feature_sql(df: DataFrame, name: str, default: float = 0.0) -> str:
+    """As :func:`feature`, as SQL text."""
+    if not has(df, name):
+        return f"{float(default)}D"
+    text = f"trim(cast(`{name}` as string))"
+    value = f"cast(`{name}` as double)" if isinstance(df.schema[name].dataType, NumericType) else f"if({text} rlike r'{NUMBER}', try_cast({text} as double), null)"
+    return f"coalesce({value}, {float(default)}D)"
+
+
 # --- scaling -----------------------------------------------------------------
 
 

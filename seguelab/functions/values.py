@@ -18,7 +18,7 @@ NUMBER_PREFIXES = ("intro_", "outro_", "sentiment_")
 ANALYSED = ("tempo", "key", "mode", "intro_tempo", "outro_tempo", "intro_seconds_used", "outro_seconds_used")
 ANALYSED_DEEP = (*ANALYSED, "intro_attack_time_s", "intro_flux_peak", "outro_abruptness", "outro_release_time_s")
 BANDS = ((0.80, "excellent"), (0.65, "strong"), (0.50, "good"), (0.35, "mixed"))
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def has(df: DataFrame, name: str) -> bool:
@@ -49,7 +49,7 @@ def filled(c: Column) -> Column:
 def number(c: Column) -> Column:
     """A double from loose text, null where it doesn't parse; type suffixes as in ``1d`` don't count as numbers."""
     text = F.trim(c.cast("string"))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def is_feature_name(name: str) -> bool:
@@ -84,11 +84,6 @@ def clip_or_null(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(c.isNotNull(), clip(c, low, high))
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def min_max(c: Column, low: float, high: float) -> Column:
     """Where a value lies between fixed bounds, 0 to 1; 0 for missing values and where the bounds don't rise."""
     if high <= low:

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import add_log_tempo, add_moods, add_robust, feature
-from ..functions.text import genre_text
-from ..functions.values import clip, has, let, min_max
+from ..functions.features import add_log_tempo, add_moods, add_robust, feature_sql
+from ..functions.values import clip, has
 from ..session import materialize
 
 CONFIDENT = 0.55
@@ -53,27 +52,33 @@ STYLE_FEATURES = "danceability energy speechiness acousticness liveness valence
 RESOLVED = ("style_cluster", "genre_primary", "genre_confidence", "genre_source", "mix_group")
 
 
-def _best_two(scores: Sequence[tuple[str, Column]], use) -> Column:
-    """``use`` of the best name, its score and the second score; of equals the earlier in the list."""
-    rows = F.array_sort(F.array(*(F.struct((-c).alias("s"), F.lit(k).alias("k"), F.lit(n).alias("n")) for k, (n, c) in enumerate(scores))))
-    return let(rows, lambda r: use(r[0]["n"], -r[0]["s"], -r[1]["s"]))
+def _best_two(scores: Sequence[tuple[str, str]], picked: str) -> str:
+    """SQL for ``picked``, of the sorted scores ``r``: r[0].n is the best name, -r[0].s and -r[1].s are the best two scores; of equals the earlier in the list.
+
+    Text, not column objects: hundreds of these would take longer to make than to run.
+    """
+    rows = ", ".join(f"struct(-({c}) as s, {k} as k, '{n}' as n)" for k, (n, c) in enumerate(scores))
+    return f"transform(array(array_sort(array({rows}))), r -> {picked})[0]"
 
 
-def keyword_scores(text: Column) -> list[tuple[str, Column]]:
-    """Each genre's weight of the keywords in a text from :func:`genre_text`: 1, and 0.15 for each further word of a keyword."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    hit = lambda w: F.when(padded.contains(f" {w} "), F.lit(1 + 0.15 * w.count(" "))).otherwise(F.lit(0.0))
-    return [(g, sum((hit(w) for w in ws[1:]), hit(ws[0]))) for g, ws in KEYWORDS.items()]
+def _clip_sql(c: str, high: float = 1.0) -> str:
+    return f"least(greatest({c}, 0D), {high}D)"
 
 
-def keyword_genre(c: Column) -> Column:
-    """struct(genre, confidence) of a text; unknown and 0 where no keyword is in it."""
+_NO_GENRE = f"struct('{UNKNOWN}' as genre, 0D as confidence)"
 
-    def pick(name: Column, best: Column, second: Column) -> Column:
-        found = clip(F.lit(0.60) + F.lit(0.12) * best + F.lit(0.08) * (best - second), 0, 0.98)
-        return F.when(best > 0, F.struct(name.alias("genre"), found.alias("confidence"))).otherwise(F.struct(F.lit(UNKNOWN).alias("genre"), F.lit(0.0).alias("confidence")))
 
-    return let(genre_text(c), lambda text: _best_two(keyword_scores(text), pick))
+def keyword_genre(name: str) -> Column:
+    """struct(genre, confidence) of a column's text; unknown and 0 where no keyword is in it.
+
+    A genre's weight is the sum of its keywords' in the text: 1, and 0.15 for each
+    further word of a keyword.
+    """
+    text = f"regexp_replace(regexp_replace(regexp_replace(lower(coalesce(cast(`{name}` as string), '')), '[_-]', ' '), '[^a-z0-9& ]+', ' '), ' +', ' ')"
+    hit = lambda w: f"if(contains(x, ' {w} '), {1 + 0.15 * w.count(' ')}D, 0D)"
+    found = _clip_sql("0.60D + 0.12D * -r[0].s + 0.08D * (-r[0].s + r[1].s)", 0.98)
+    best = _best_two([(g, " + ".join(map(hit, ws))) for g, ws in KEYWORDS.items()], f"if(r[0].s < 0, struct(r[0].n as genre, {found} as confidence), {_NO_GENRE})")
+    return F.expr(f"transform(array(concat(' ', trim({text}), ' ')), x -> {best})[0]")
 
 
 def add_field_votes(df: DataFrame, out: str = "vote") -> DataFrame:
@@ -81,7 +86,7 @@ def add_field_votes(df: DataFrame, out: str = "vote") -> DataFrame:
     fields = [f for f in FIELDS if has(df, f)]
     if not fields:
         return df.withColumn(out, F.struct(F.lit(UNKNOWN).alias("genre"), F.lit(0.0).alias("confidence")))
-    wide = df.withColumns({f"_m{k}": keyword_genre(F.col(f"`{f}`").cast("string")) for k, f in enumerate(fields)})
+    wide = df.withColumns({f"_m{k}": keyword_genre(f) for k, f in enumerate(fields)})
     votes = F.array(*(F.struct(F.col(f"_m{k}.genre").alias("g"), (F.col(f"_m{k}.confidence") * FIELDS[f]).alias("s"), F.lit(k).alias("k")) for k, f in enumerate(fields)))
     known = F.filter(votes, lambda v: v["g"] != UNKNOWN)
     names = F.array_distinct(F.transform(known, lambda v: v["g"]))
@@ -95,12 +100,13 @@ def add_field_votes(df: DataFrame, out: str = "vote") -> DataFrame:
 
 def nearest_prototype(df: DataFrame) -> Column:
     """struct(genre, confidence) of the prototype with the least mean difference over the nine features."""
-    value = {n: min_max(feature(df, "tempo"), 60, 180) if n == "tempo_norm" else feature(df, n) for n in PROTOTYPE_FEATURES}
+    value = {n: _clip_sql(f"({feature_sql(df, 'tempo')} - 60D) / 120D") if n == "tempo_norm" else feature_sql(df, n) for n in PROTOTYPE_FEATURES}
     scores = []
     for g, p in PROTOTYPES.items():
-        total = sum((F.abs(value[n] - F.lit(x)) for n, x in zip(PROTOTYPE_FEATURES, p, strict=True)), F.lit(0.0))
-        scores.append((g, F.exp(-total / F.lit(float(len(p))))))
-    return _best_two(scores, lambda name, best, second: F.struct(name.alias("genre"), clip(F.lit(0.30) + F.lit(0.45) * best + F.lit(0.35) * (best - second), 0, 0.90).alias("confidence")))
+        total = " + ".join(f"abs({value[n]} - {x}D)" for n, x in zip(PROTOTYPE_FEATURES, p, strict=True))
+        scores.append((g, f"exp(-({total}) / {float(len(p))}D)"))
+    found = _clip_sql("0.30D + 0.45D * -r[0].s + 0.35D * (-r[0].s + r[1].s)", 0.90)
+    return F.expr(_best_two(scores, f"struct(r[0].n as genre, {found} as confidence)"))
 
 
 def add_style_clusters(df: DataFrame, clusters: int = 8, seed: int = 42, index: str = "track_idx") -> DataFrame:
@@ -128,7 +134,7 @@ def resolve_genres(df: DataFrame, genre_column: str | None = None, clusters: int
     """
     wide = materialize(add_style_clusters(materialize(add_moods(df), "moods"), clusters), "clusters")
     explicit = list(dict.fromkeys(c for c in (genre_column, "genre", "genres") if c and has(df, c)))
-    wide = wide.withColumns({f"_x{k}": keyword_genre(F.col(f"`{c}`").cast("string")) for k, c in enumerate(explicit)})
+    wide = wide.withColumns({f"_x{k}": keyword_genre(c) for k, c in enumerate(explicit)})
     wide = materialize(add_field_votes(wide, "_vote").withColumn("_near", nearest_prototype(wide)), "genres")
     genre, confidence, source = F.col("_near.genre"), F.col("_near.confidence"), F.lit("audio_heuristic")
     steps = [("_vote", F.col("_vote.confidence"), "metadata_heuristic")] + [(f"_x{k}", F.least(F.lit(1.0), F.greatest(F.col(f"_x{k}.confidence"), F.lit(0.92))), "input_column") for k in reversed(range(len(explicit)))]

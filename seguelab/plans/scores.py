@@ -91,7 +91,7 @@ PAIRWISE = "select a.n_nationkey as from_idx, b.n_nationkey as to_idx, round(exp
 
 
 def genre_keyword(spark, sf_dir):
-    g = G.keyword_genre(F.col("title"))
+    g = G.keyword_genre("title")
     return pool(spark, sf_dir, ("track_idx", "title")).select("track_idx", g.alias("g")).select("track_idx", "g.genre", F.round("g.confidence", 6).alias("confidence"))
 
 
