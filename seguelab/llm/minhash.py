@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, free_name, keyed_text, materialize, mix, rows_of, text_slices, words
+from .common import column, drop_table, free_name, keyed_text, materialize, mix, rows_of, text_slices, words
 from .components import components, unite
 
 SAMPLES, ROWS, BITS, SHINGLE, THRESHOLD = 128, 4, 512, 3, 0.5
@@ -163,8 +163,8 @@ def _verifier(most: int):
     return run
 
 
-def _links(kept: DataFrame, threshold: float, part_rows: int) -> DataFrame:
-    """(a, b): edges that connect the nodes which share a band and whose sketches stand for at least the threshold."""
+def _links(kept: DataFrame, threshold: float, part_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): edges that connect the nodes which share a band and whose sketches stand for at least the threshold; and the tables that they are read from."""
     most = most_different(threshold)
     members = kept.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
@@ -177,7 +177,7 @@ def _links(kept: DataFrame, threshold: float, part_rows: int) -> DataFrame:
     near = judged.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     rest = materialize(met.join(judged.filter("not near"), ["node", "leader"]).select("key", "node", "n"), "rest")
     if rest.isEmpty():
-        return near
+        return near, [met, judged, rest]
     pieces = lambda n: F.ceil(F.col(n) / part_rows).cast("int")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -186,7 +186,7 @@ def _links(kept: DataFrame, threshold: float, part_rows: int) -> DataFrame:
     asked = rest.join(sizes, "key").select("key", "node", each("parts").alias("part"), place("rest_parts").alias("rest_part"), F.lit(True).alias("rest"))
     order = ("key", "part", "rest_part")
     grouped = known.unionByName(asked).join(sketches, "node").repartition(*order).sortWithinPartitions(*order)
-    return near.union(grouped.mapInArrow(_verifier(most), "a long, b long"))
+    return near.union(grouped.mapInArrow(_verifier(most), "a long, b long")), [met, judged, rest]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, part_rows: int = PART_ROWS) -> DataFrame:
@@ -211,7 +211,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owners = signed.select("id", "node")
     several = owners.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b <> c").select("id", "b")
     of_one_id = owners.join(several, "id").select(F.col("node").alias("a"), "b")
-    groups = components(_links(kept, threshold, part_rows).union(of_one_id))
+    links, tables = _links(kept, threshold, part_rows)
+    groups = components(links.union(of_one_id))
+    for table in (kept, *tables):
+        drop_table(table)
     placed = owners.join(groups, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1").select("root", "kept_id")
     return placed.join(least, "root").filter("id <> kept_id").select(F.col("id").alias("doc_id"), "kept_id").distinct()

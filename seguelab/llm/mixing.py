@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from .common import free_name, hex_fraction, materialize
 
 SEED = 17
-#: Rows of the table of rates up to which it is broadcast; a larger one is joined by a shuffle.
-BROADCAST_SOURCES = 20_000
 _TOKEN = "[^ \\t\\n\\r]+"
 
 
@@ -64,9 +62,8 @@ def mix_sources(
     """
     rates = materialize(source_rates(docs, weights, budget, source_col, text_col), "rates")
     key, rate, copies, copy_no = (free_name(docs, x) for x in ("mix_source", "mix_rate", "mix_copies", "copy_no"))
+    # a written table has a known size, by which Spark broadcasts it or splits the rows of a frequent source
     side = rates.select(F.col("source").alias(key), F.col("rate").alias(rate))
-    if rates.count() <= BROADCAST_SOURCES:
-        side = F.broadcast(side)
     r = F.col(f"`{rate}`")
     draw = hex_fraction(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))))
     counted = docs.join(side, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(f"`{key}`"))).withColumn(copies, (F.floor(r) + (draw < r - F.floor(r)).cast("long")).cast("int"))
