@@ -63,7 +63,7 @@ def test_a_third_of_all_rows_are_copies(spark):
     x = clustered(90, 90, 0.0, 8)
     rows = rows_of(np.concatenate([x, np.repeat(x[:1], 45, axis=0)]))
     want = brute({(i, tuple(v)) for i, v in rows}, 0.95)
-    assert got(spark.createDataFrame(rows, SCHEMA), part_rows=16) == want and (0, 0, 45) in want
+    assert got(spark.createDataFrame(rows, SCHEMA), part_rows=16) == want and any(i == 0 and k >= 45 for i, _, k in want)
 
 
 def test_what_is_left_out(spark):
