@@ -116,10 +116,13 @@ def add_style_clusters(df: DataFrame, clusters: int = 8, seed: int = 42, index:
 
     wide = df if has(df, "log_tempo") else add_log_tempo(df)
     names = [n for n in STYLE_FEATURES if has(wide, n) and (n != "log_tempo" or has(df, "tempo") or has(df, "log_tempo"))]
-    n = df.limit(max(2, clusters)).count()
-    if n <= 1 or not names:
+    if not names:
         return df.withColumn("style_cluster", F.lit("cluster_00"))
     scaled = add_robust(wide, names, "_style")
+    # no more clusters than there are different rows
+    n = scaled.select(*(F.col(f"`{c}_style`") for c in names)).distinct().limit(max(2, clusters)).count()
+    if n <= 1:
+        return df.withColumn("style_cluster", F.lit("cluster_00"))
     table = VectorAssembler(inputCols=[c + "_style" for c in names], outputCol="_features").transform(scaled)
     model = KMeans(k=min(max(2, clusters), n), seed=seed, featuresCol="_features", predictionCol="_cluster").fit(table.select("_features"))
     return model.transform(table).withColumn("style_cluster", F.format_string("cluster_%02d", "_cluster")).select(*(F.col(f"`{c}`") for c in df.columns if c != "style_cluster"), "style_cluster")

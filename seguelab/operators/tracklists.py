@@ -81,6 +81,16 @@ def _item_seconds(item: Column, fields: Mapping[str, T.DataType]) -> Column:
     return F.coalesce(*(f(item[n]) for n, f in known.items() if n in fields), F.lit(None).cast("int"))
 
 
+def _item_reader(fields: Mapping[str, T.DataType]):
+    """Of one parameter, as a second one would be the item's place."""
+
+    def read(item: Column) -> Column:
+        at = _item_seconds(item, fields)
+        return F.struct(X.time_code(at).alias("timestamp"), at.alias("timestamp_s"), X.track_text(_item_label(item, fields)).alias("track_raw"))
+
+    return read
+
+
 def watch_lines(df: DataFrame, keep: Sequence[str] = ("video_id",), chapters: str = "chapters") -> DataFrame:
     """As :func:`chapter_lines`; where a row has no chapters, from its other lists in their order, the first of equal (time, name)."""
     empty = F.array().cast("array<struct<timestamp:string,timestamp_s:int,track_raw:string>>")
@@ -95,8 +105,7 @@ def watch_lines(df: DataFrame, keep: Sequence[str] = ("video_id",), chapters: st
     others = empty
     for name in lists:
         fields = {f.name: f.dataType for f in df.schema[name].dataType.elementType.fields}
-        read = lambda i, fields=fields: F.struct(X.time_code(_item_seconds(i, fields)).alias("timestamp"), _item_seconds(i, fields).alias("timestamp_s"), X.track_text(_item_label(i, fields)).alias("track_raw"))
-        others = F.concat(others, F.filter(F.transform(F.coalesce(F.col(name), F.array()), read), lambda x: x["timestamp_s"].isNotNull() & (x["track_raw"] != "")))
+        others = F.concat(others, F.filter(F.transform(F.coalesce(F.col(name), F.array()), _item_reader(fields)), lambda x: x["timestamp_s"].isNotNull() & (x["track_raw"] != "")))
     key = lambda x: F.concat_ws("|", x["timestamp_s"].cast("string"), F.lower(x["track_raw"]))
     keys = F.transform(others, key)
     first = F.filter(others, lambda x, i: F.array_position(keys, key(x)) == i + 1)

@@ -10,7 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from seguelab.session import local_session
 
-    # tables of a few rows: compiling a plan would take longer than running it
-    session = local_session("4", 3, **{"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
+    session = local_session("8", 3)
     yield session
     session.stop()
