@@ -39,3 +39,8 @@ def test_best_edges_of_blocks(tracks, small):
 
 def test_top_edges_make_no_table_of_pairs(spark):
     assert "NestedLoop" not in plan(scores.top_edges(spark, SF)) and "CartesianProduct" not in plan(scores.top_edges(spark, SF))
+
+
+def test_quality_of_blocks(spark, tracks, small):
+    assert rows(pairs.pool_scores(tracks, digits=None).quality()) == rows(L.outgoing_quality(pairs.score_pairs(tracks)))
+    assert "NestedLoop" not in plan(scores.outgoing_quality(spark, SF))
