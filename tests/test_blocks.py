@@ -44,3 +44,14 @@ def test_top_edges_make_no_table_of_pairs(spark):
 def test_quality_of_blocks(spark, tracks, small):
     assert rows(pairs.pool_scores(tracks, digits=None).quality()) == rows(L.outgoing_quality(pairs.score_pairs(tracks)))
     assert "NestedLoop" not in plan(scores.outgoing_quality(spark, SF))
+
+
+def test_all_pairs_are_spread_over_the_cores(spark):
+    slim = spark.range(4000).coalesce(1)
+    assert pairs.cross(slim).rdd.getNumPartitions() > 1 and pairs.cross(slim.filter("id < 9")).count() == 81
+
+
+def test_rounding_by_numbers_is_rounding_by_texts(spark):
+    x = F.col("id") / 200000
+    df = spark.range(400001).select((x / 2).alias("x"), F.rand(7).alias("y"))
+    assert df.filter((pairs.rounded(F.col("x"), 6) != F.round("x", 6)) | (pairs.rounded(F.col("y"), 6) != F.round("y", 6)) | (pairs.rounded(F.col("y"), 9) != F.round("y", 9))).isEmpty()
