@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.values import rating_sql
 from ..operators import pairs as P
 from ..operators import search as L
-from ..session import materialize
+from ..operators.blocks import PairScores
 from .pool import pair_scores_sql, pool
 from .records import table
 
 
 def _edges(spark, sf_dir):
-    return materialize(P.score_pairs(pool(spark, sf_dir)).select("from_idx", "to_idx", F.round("score", 9).alias("score")), "edges")
+    """All scores with nine digits, none of them written."""
+    return P.pool_scores(pool(spark, sf_dir))
 
 
 def _paths(spark, sf_dir):
@@ -111,8 +112,11 @@ def beam_by_nation(spark, sf_dir):
     """One list of all its suppliers for each nation, all in parallel: pools are tasks."""
     rows = pool(spark, sf_dir, ("track_idx", "s_nationkey", "artist", "tags"))
     tracks = rows.select(F.col("s_nationkey").alias("pool"), "track_idx", "artist", F.col("tags").alias("mix"), F.lit("unknown").alias("genre"))
+    edges = _edges(spark, sf_dir)
+    if isinstance(edges, PairScores):
+        return L.beam_lists(tracks, edges, None)
     nation = rows.select(F.col("track_idx").alias("i"), F.col("s_nationkey").alias("pool"))
-    edges = _edges(spark, sf_dir).join(nation.withColumnRenamed("i", "from_idx"), "from_idx").join(nation.select(F.col("i").alias("to_idx"), F.col("pool").alias("q")), "to_idx").filter("pool = q").drop("q")
+    edges = edges.join(nation.withColumnRenamed("i", "from_idx"), "from_idx").join(nation.select(F.col("i").alias("to_idx"), F.col("pool").alias("q")), "to_idx").filter("pool = q").drop("q")
     return L.beam_lists(tracks, edges, None)
 
 

@@ -55,3 +55,41 @@ def test_rounding_by_numbers_is_rounding_by_texts(spark):
     x = F.col("id") / 200000
     df = spark.range(400001).select((x / 2).alias("x"), F.rand(7).alias("y"))
     assert df.filter((pairs.rounded(F.col("x"), 6) != F.round("x", 6)) | (pairs.rounded(F.col("y"), 6) != F.round("y", 6)) | (pairs.rounded(F.col("y"), 9) != F.round("y", 9))).isEmpty()
+
+
+def paths_of(spark, tracks):
+    """Two lists, one of which repeats tracks, also of the other."""
+    ids = sorted(r[0] for r in tracks.select("track_idx").collect())
+    made = [("a", k + 1, i) for k, i in enumerate(ids[::2])] + [("b", k + 1, i) for k, i in enumerate([*ids[1::2], *ids[3:14], ids[4], ids[4]])]
+    return spark.createDataFrame(made, "playlist_name string, position int, track_idx long")
+
+
+def test_report_of_blocks(spark, tracks, small):
+    paths = paths_of(spark, tracks)
+    edges = pairs.score_pairs(tracks).withColumn("score", F.round("score", 9))
+    assert rows(L.report_steps(paths, pairs.pool_scores(tracks))) == rows(L.report_steps(paths, edges))
+
+
+def test_step_scores_need_their_steps_alone(spark, tracks):
+    paths = paths_of(spark, tracks)
+    edges = pairs.score_pairs(tracks).withColumn("score", F.round("score", 9))
+    made = L.step_scores(paths, pairs.pool_scores(tracks))
+    assert rows(made.na.fill(-1.0)) == rows(L.step_scores(paths, edges).na.fill(-1.0)) and "NestedLoop" not in plan(made)
+
+
+@pytest.mark.parametrize("near", [2, 256])
+def test_lists_of_a_single_pool_by_scores(tracks, small, monkeypatch, near):
+    """``near`` of 2: the search outlives the edges that it has at hand."""
+    monkeypatch.setattr(L, "NEAR", near)
+    edges = pairs.score_pairs(tracks).withColumn("score", F.round("score", 9))
+    n = tracks.count()
+    for size, lists in ((n, 1), (n // 3, 3)):
+        mine, theirs = (L.generate_lists(tracks, e, size, lists, width=3, candidates=3)[0] for e in (pairs.pool_scores(tracks), edges))
+        assert rows(mine) == rows(theirs)
+
+
+def test_lists_of_several_pools_by_scores(tracks, small, monkeypatch):
+    monkeypatch.setattr(L, "NEAR", 4)
+    own = tracks.select((F.col("track_idx") % 3).cast("int").alias("pool"), "track_idx", "artist", F.col("tags").alias("mix"), F.lit("unknown").alias("genre"))
+    edges = pairs.score_pairs(tracks).withColumn("score", F.round("score", 9)).withColumn("pool", (F.col("from_idx") % 3).cast("int")).filter("from_idx % 3 = to_idx % 3")
+    assert rows(L.beam_lists(own, pairs.pool_scores(tracks), None, candidates=4)) == rows(L.beam_lists(own, edges, None, candidates=4))
