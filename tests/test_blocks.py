@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seguelab.operators import blocks, pairs
+from seguelab.operators import blocks, graph, pairs
 from seguelab.operators import search as L
 from seguelab.plans import scores
 from seguelab.plans.pool import pool
@@ -93,3 +93,26 @@ def test_lists_of_several_pools_by_scores(tracks, small, monkeypatch):
     own = tracks.select((F.col("track_idx") % 3).cast("int").alias("pool"), "track_idx", "artist", F.col("tags").alias("mix"), F.lit("unknown").alias("genre"))
     edges = pairs.score_pairs(tracks).withColumn("score", F.round("score", 9)).withColumn("pool", (F.col("from_idx") % 3).cast("int")).filter("from_idx % 3 = to_idx % 3")
     assert rows(L.beam_lists(own, pairs.pool_scores(tracks), None, candidates=4)) == rows(L.beam_lists(own, edges, None, candidates=4))
+
+
+def blend_case(spark, n=40):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.random((n, 6))
+    v[5] = v[9] = v[11]
+    v[7] = 0
+    made = [(i * 3, int(rng.integers(12)), int(rng.integers(2)), [float(x) for x in v[i]]) for i in range(n)]
+    return spark.createDataFrame(made, "track_idx long, key int, mode int, vector array<double>").cache()
+
+
+def test_blended_pairs_and_their_nearest(spark, small):
+    tracks = blend_case(spark)
+    whole = graph.blend(graph.cosine_pairs(tracks, "track_idx", "vector"), graph.key_pairs(tracks))
+    made = graph.blended_pairs(tracks)
+    assert rows(made) == rows(whole) and "SortMergeJoin" not in plan(made)
+    edges = whole.withColumn("score", F.round("score", 9))
+    units = graph.blended_rows(tracks)
+    assert rows(graph.blended_top(units, 5)) == rows(graph.sparsify(edges, 5))
+    tours = graph.tree_tours(graph.sparsify(edges, 5)).cache()
+    assert rows(graph.improved_blended(tours, units)) == rows(graph.improved_tours(tours, edges))
