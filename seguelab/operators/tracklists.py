@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,25 +178,30 @@ def best_candidates(rows: DataFrame, candidates: DataFrame, keys: Sequence[str]
 
     ``candidates``: query (as from :func:`~seguelab.functions.text.plain_query`), rank, id, title,
     uploader, duration, availability, url.  Distinct queries meet them by an equi-join;
-    of a candidate that several of a track's queries find, the first counts.
+    of a candidate that several of a track's queries find, the first counts.  Tracks
+    of one text are judged once: as only a row's own video is no candidate for it,
+    each row's choice is among its text's best two.
     """
     keys = list(keys)
-    asked = rows.select(*keys, F.col(track).alias("_track"), F.posexplode(X.search_queries(F.col(track))).alias("_variant", "_q")).withColumn("_query", X.plain_query(F.col("_q")))
+    asked = rows.select(F.col(track).alias("_track")).distinct().select("_track", F.posexplode(X.search_queries(F.col("_track"))).alias("_variant", "_q")).withColumn("_query", X.plain_query(F.col("_q")))
     side = candidates.select(F.col("query").alias("_query"), F.col("rank").alias("_rank"), F.trim("id").alias("_id"), X.text_or_empty(F.col("title")).alias("_title"), X.text_or_empty(F.col("uploader")).alias("_artist"), F.col("duration").cast("int").alias("_duration"), F.lower(X.text_or_empty(F.col("availability"))).alias("_availability"), X.text_or_empty(F.col("url")).alias("_url"))
-    met = keep_first(asked.join(side, "_query").filter("_id <> ''"), [*keys, "_id"], ["_variant", "_rank"])
-    video = F.col("video_id").cast("string") if "video_id" in keys else F.lit("")
-    met = met.filter(F.col("_id") != video)
+    met = keep_first(asked.join(side, "_query").filter("_id <> ''"), ["_track", "_id"], ["_variant", "_rank"])
     gone = F.lower("_title").isin(*UNAVAILABLE) | F.col("_availability").isin("private", "unavailable")
     scored = add_match(met.withColumn("_gone", gone), "_track", "_title", "_artist", "_duration", fold)
     long = F.coalesce(F.col("_duration"), F.lit(LONGEST_SECONDS + 1))
     plain = (F.coalesce(F.col("_duration") <= LONGEST_SECONDS, F.lit(False))).cast("int")
-    order = Window.partitionBy(*keys).orderBy("_gone", F.when(F.col("expects"), -F.col("match_score")).otherwise(-plain), F.when(F.col("expects"), -F.col("overlap")), F.when(F.col("expects"), long), "_variant", "_rank")
-    top = scored.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    order = Window.partitionBy("_track").orderBy("_gone", F.when(F.col("expects"), -F.col("match_score")).otherwise(-plain), F.when(F.col("expects"), -F.col("overlap")), F.when(F.col("expects"), long), "_variant", "_rank")
+    top = scored.withColumn("_n", F.row_number().over(order)).filter("_n <= 2")
     weak = F.col("expects") & ((F.col("match_score") < 1.05) | ((F.col("overlap") < 0.5) & (F.col("match_score") < 1.45)))
     status = F.when(F.col("_gone"), "unavailable").when(weak, "no_match").otherwise("resolved")
-    good = status == "resolved"
-    chosen = top.select(*keys, status.alias("resolution_status"), F.when(good, F.col("_id")).alias("resolved_video_id"), F.when(good, F.col("_title")).alias("resolved_title"), F.when(good, F.col("_artist")).alias("resolved_artist"), F.when(good, X.video_url(F.col("_id"), F.col("_url"))).alias("resolved_url"), F.when(good, F.col("_duration")).alias("resolved_duration_seconds"))
-    return rows.select(*keys).join(chosen, keys, "left").withColumn("resolution_status", F.coalesce("resolution_status", F.lit("no_match")))
+    picks = top.groupBy("_track").agg(F.array_sort(F.collect_list(F.struct("_n", "_id", status.alias("_status"), "_title", "_artist", "_url", "_duration"))).alias("_picks"))
+    # a key with a null has no candidates
+    video = F.col("video_id").cast("string") if "video_id" in keys else F.lit("")
+    whole = reduce(lambda a, b: a & b, (F.col(f"`{k}`").isNotNull() for k in keys))
+    own = F.when(whole, F.try_element_at(F.filter("_picks", lambda x: x["_id"] != video), F.lit(1)))
+    met = rows.select(*keys, F.col(track).alias("_asked")).join(picks, F.col("_asked") == F.col("_track"), "left").select(*keys, own.alias("_x"))
+    good = F.col("_x._status") == "resolved"
+    return met.select(*keys, F.coalesce("_x._status", F.lit("no_match")).alias("resolution_status"), F.when(good, F.col("_x._id")).alias("resolved_video_id"), F.when(good, F.col("_x._title")).alias("resolved_title"), F.when(good, F.col("_x._artist")).alias("resolved_artist"), F.when(good, X.video_url(F.col("_x._id"), F.col("_x._url"))).alias("resolved_url"), F.when(good, F.col("_x._duration")).alias("resolved_duration_seconds"))
 
 
 def wanted_tracks(resolved: DataFrame) -> DataFrame:
