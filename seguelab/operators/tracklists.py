@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.values import analysed, col_or, has
-from .relations import adjacent_pairs, keep_first, match_nearest
+from .relations import adjacent_pairs, keep_first
 
 LONGEST_SECONDS = 900
 UNAVAILABLE = ("[deleted video]", "[private video]")
@@ -28,12 +28,17 @@ def _total(code: Column) -> Column:
     return F.aggregate(F.transform(F.split(code, ":"), lambda x: x.cast("int")), F.lit(0), lambda a, x: a * 60 + x)
 
 
+def _cut(lines: Column) -> Column:
+    """The structs (timestamp, timestamp_s, track_raw) of an array that have a name, each with its name split at the separators: once, as what a step names isn't worked out wherever it is used."""
+    named = F.filter(lines, lambda x: x["track_raw"] != "")
+    return F.transform(named, lambda x: F.struct(x["timestamp"].alias("timestamp"), x["timestamp_s"].alias("timestamp_s"), x["track_raw"].alias("track_raw"), F.split(x["track_raw"], X.SEPARATOR).alias("cut")))
+
+
 def _numbered(df: DataFrame, keep: Sequence[str], lines: Column) -> DataFrame:
     """The structs (timestamp, timestamp_s, track_raw) of an array, numbered from 1, with the guesses of both sides."""
-    rows = df.select(*keep, F.posexplode(F.filter(lines, lambda x: x["track_raw"] != "")).alias("p", "x"))
-    sides = X.track_sides(F.col("x.track_raw"))
-    rows = rows.withColumn("g", sides)
-    return rows.select(*keep, (F.col("p") + 1).alias("position"), "x.timestamp", "x.timestamp_s", "x.track_raw", F.col("g.right").alias("artist_guess"), F.col("g.left").alias("title_guess"))
+    rows = df.select(*keep, F.posexplode(_cut(lines)).alias("p", "x"))
+    sides = X.cut_sides(F.col("x.cut"))
+    return rows.select(*keep, (F.col("p") + 1).alias("position"), "x.timestamp", "x.timestamp_s", "x.track_raw", sides["right"].alias("artist_guess"), sides["left"].alias("title_guess"))
 
 
 def description_lines(df: DataFrame, text: str = "description", keep: Sequence[str] = ("video_id",)) -> DataFrame:
@@ -42,6 +47,10 @@ def description_lines(df: DataFrame, text: str = "description", keep: Sequence[s
     The whole list is made within its row, so that nothing is shuffled.  Lines
     without a name after the code don't count; positions number those that do.
     """
+    return _numbered(df, keep, _described(text))
+
+
+def _described(text: str) -> Column:
     found = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\r|\n"), lambda x: x.rlike(X.TIME_LINE))
 
     def read(line: Column) -> Column:
@@ -51,7 +60,7 @@ def description_lines(df: DataFrame, text: str = "description", keep: Sequence[s
         return F.struct(x["code"].alias("timestamp"), _total(x["code"]).alias("timestamp_s"), F.when(X.too_short(x["name"]), "").otherwise(x["name"]).alias("track_raw"))
 
     # in two steps: what a step names is worked out once, not wherever it is used
-    return _numbered(df, keep, F.transform(F.transform(found, read), judge))
+    return F.transform(F.transform(found, read), judge)
 
 
 def chapter_lines(df: DataFrame, chapters: str = "chapters", keep: Sequence[str] = ("video_id",)) -> DataFrame:
@@ -97,6 +106,11 @@ def _item_reader(fields: Mapping[str, T.DataType]):
 
 def watch_lines(df: DataFrame, keep: Sequence[str] = ("video_id",), chapters: str = "chapters") -> DataFrame:
     """As :func:`chapter_lines`; where a row has no chapters, from its other lists in their order, the first of equal (time, name)."""
+    return _numbered(_listed(df, chapters), keep, F.col("_listed"))
+
+
+def _listed(df: DataFrame, chapters: str = "chapters") -> DataFrame:
+    """The table with the lines of :func:`watch_lines` as an array ``_listed``; each of the lists is made once for its row."""
     empty = F.array().cast("array<struct<timestamp:string,timestamp_s:int,track_raw:string>>")
     lists = [c for c in LISTS if has(df, c)]
     if has(df, chapters):
@@ -106,37 +120,63 @@ def watch_lines(df: DataFrame, keep: Sequence[str] = ("video_id",), chapters: st
         own = F.filter(own, lambda x: x["track_raw"] != "")
     else:
         own = empty
+    if not lists:
+        return df.withColumn("_listed", own)
     others = empty
     for name in lists:
         fields = {f.name: f.dataType for f in df.schema[name].dataType.elementType.fields}
         others = F.concat(others, F.filter(F.transform(F.coalesce(F.col(name), F.array()), _item_reader(fields)), lambda x: x["timestamp_s"].isNotNull() & (x["track_raw"] != "")))
     key = lambda x: F.concat_ws("|", x["timestamp_s"].cast("string"), F.lower(x["track_raw"]))
-    keys = F.transform(others, key)
-    first = F.filter(others, lambda x, i: F.array_position(keys, key(x)) == i + 1)
-    return _numbered(df, keep, F.when(F.size(own) > 0, own).otherwise(first))
+    made = df.withColumns({"_own": own, "_others": others})
+    made = made.withColumn("_keys", F.transform("_others", key))
+    first = F.filter("_others", lambda x, i: F.array_position("_keys", key(x)) == i + 1)
+    return made.withColumn("_listed", F.when(F.size("_own") > 0, F.col("_own")).otherwise(first)).drop("_own", "_others", "_keys")
+
+
+def _nearest_chapters(lines: Column, chapters: Column, tolerance: int = 5) -> Column:
+    """As :func:`~seguelab.operators.relations.match_nearest` within a row: for each line the place of its chapter from 0, or -1."""
+
+    def pick(taken: Column, line: Column) -> Column:
+        gaps = F.transform(chapters, lambda c, k: F.struct(F.abs(c["timestamp_s"] - line["timestamp_s"]).alias("gap"), k.alias("k")))
+        near = F.filter(gaps, lambda x: (x["gap"] <= tolerance) & ~F.array_contains(taken, x["k"]))
+        same = F.when(F.size(lines) == F.size(chapters), F.size(taken))
+        return F.concat(taken, F.array(F.coalesce(F.array_min(near)["k"], same, F.lit(-1))))
+
+    none = F.transform(lines, lambda _: F.lit(-1))
+    return F.when(F.size(chapters) == 0, none).otherwise(F.aggregate(lines, F.array().cast("array<int>"), pick))
 
 
 def source_rows(videos: DataFrame, label: str = LABEL, label_source: str = LABEL_SOURCE, version: int = 4) -> DataFrame:
     """One row for each track of each video, from its description if that has two lines or more, else from its chapters.
 
     ``videos``: video_id, video_url, channel_url, title, uploader_id, description,
-    chapters (and other lists).  A described track takes the nearest chapter within
-    five seconds, one to one.  Videos with fewer than two tracks give none.
+    chapters (and other lists), a row for each video.  A described track takes the
+    nearest chapter within five seconds, one to one.  Videos with fewer than two
+    tracks give none, nor do those without an id.  Each video's list is made within
+    its row, so that nothing is shuffled.
     """
-    enough = lambda rows: rows.withColumn("n", F.count("*").over(Window.partitionBy("video_id"))).filter(F.col("n") >= LEAST_LINES).drop("n")
-    every = watch_lines(videos)
-    told, chapters = enough(description_lines(videos)), enough(every)
-    met = match_nearest(told, every).withColumnRenamed("position", "at")
-    told = told.join(met, ["video_id"]).filter("position = at").drop("at")
-    side = every.select("video_id", F.col("position").alias("chapter"), F.col("track_raw").alias("chapter_title"), F.col("timestamp_s").alias("chapter_timestamp_s"))
-    told = told.join(side, ["video_id", "chapter"], "left").withColumn("track_source", F.when(F.col("chapter").isNotNull(), "description+chapters").otherwise("description")).drop("chapter")
-    told = told.withColumn("chapter_title", F.coalesce("chapter_title", F.lit("")))
-    rest = chapters.join(told.select("video_id").distinct(), "video_id", "left_anti").withColumns({"track_source": F.lit("chapters"), "chapter_title": F.col("track_raw"), "chapter_timestamp_s": F.col("timestamp_s")})
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if has(videos, c) else F.lit("")
     handle = F.coalesce(F.nullif(text("uploader_id"), F.lit("")), F.nullif(X.channel_handle(text("channel_url")), F.lit("")), text("channel_id"))
-    meta = videos.select("video_id", text("channel_url").alias("channel_url"), handle.alias("channel_handle"), F.lit(label).alias("label"), F.lit(label_source).alias("label_source"), F.lit(version).alias("source_cache_version"), text("title").alias("video_title"), X.video_url(F.col("video_id"), text("video_url")).alias("video_url"), F.length(text("description")).alias("description_length"))
-    own = ["track_source", "chapter_title", "chapter_timestamp_s", "position", "timestamp", "timestamp_s", "track_raw", "artist_guess", "title_guess"]
-    return told.unionByName(rest).join(meta, "video_id").select(*meta.columns, *own)
+    meta = {"channel_url": text("channel_url"), "channel_handle": handle, "label": F.lit(label), "label_source": F.lit(label_source), "source_cache_version": F.lit(version), "video_title": text("title"), "video_url": X.video_url(F.col("video_id"), text("video_url")), "description_length": F.length(text("description"))}
+    rows = _listed(videos.filter("video_id is not null")).select("video_id", *(c.alias(n) for n, c in meta.items()), _cut(_described("description")).alias("_told"), _cut(F.col("_listed")).alias("_chapters"))
+    told, chapters = F.col("_told"), F.col("_chapters")
+    rows = rows.withColumn("_met", F.when(F.size(told) >= LEAST_LINES, _nearest_chapters(told, chapters)))
+
+    def line(x: Column, i: Column, source: Column, title: Column, at: Column) -> Column:
+        own = [x[n].alias(n) for n in ("timestamp", "timestamp_s", "track_raw", "cut")]
+        return F.struct(source.alias("track_source"), title.alias("chapter_title"), at.cast("int").alias("chapter_timestamp_s"), (i + 1).alias("position"), *own)
+
+    def described(x: Column, i: Column) -> Column:
+        k = F.col("_met")[i]
+        there, chapter = k >= 0, F.get(chapters, k)
+        return line(x, i, F.when(there, "description+chapters").otherwise("description"), F.when(there, chapter["track_raw"]).otherwise(""), F.when(there, chapter["timestamp_s"]))
+
+    of_chapters = F.transform(chapters, lambda x, i: line(x, i, F.lit("chapters"), x["track_raw"], x["timestamp_s"]))
+    lines = F.when(F.size(told) >= LEAST_LINES, F.transform(told, described)).when(F.size(chapters) >= LEAST_LINES, of_chapters)
+    out = rows.select("video_id", *meta, F.explode(lines).alias("x"))
+    sides = X.cut_sides(F.col("x.cut"))
+    own = ["track_source", "chapter_title", "chapter_timestamp_s", "position", "timestamp", "timestamp_s", "track_raw"]
+    return out.select("video_id", *meta, *(f"x.{n}" for n in own), sides["right"].alias("artist_guess"), sides["left"].alias("title_guess"))
 
 
 # --- resolution --------------------------------------------------------------
