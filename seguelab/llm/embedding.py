@@ -7,13 +7,16 @@ under that budget, over a grid on its first coordinates, and what any block find
 is verified exactly.  A pair counts in its nearest block alone, so that no list
 of pairs is made or compared: tasks return each vector's number of links and the
 least member of the group that it belongs to there.
+
+Where the threshold is so low that blocks would prune little, all pairs meet in
+products of matrices, in a task for each two parts of the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
-from math import erf, sqrt
+from math import ceil, erf, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ from .components import components, unite
 THRESHOLD, BLOCK, SEED = 0.95, 8, 11
 #: Rows of a cell that meet in one task; the parts of a larger cell meet in pairs.
 PART_ROWS = 32_768
+#: Share of all pairs that the blocks may find; beyond it a product of all pairs costs less.
+MOST_FOUND = 0.05
 #: Coordinates of the grid at most: a cell has neighbours in 3 to that power.
 MOST_GRID = 5
 _TILE, _WIDE, _MARGIN = 512, 8192, 1e-5
@@ -56,6 +61,13 @@ def grid_size(n: int, size: int, block: int, limit: float, most: int = PART_ROWS
     return grid
 
 
+def found_share(size: int, block: int, limit: float) -> float:
+    """About how many of the pairs of evenly spread vectors the blocks find: chi-squares of each block's coordinates within its budget."""
+    widths = [min(block, size - start) for start in range(0, size, block)]
+    below = lambda d: 1 - exp(-limit * d / 4) * sum((limit * d / 4) ** k / factorial(k) for k in range((d + 1) // 2))
+    return sum(map(below, widths))
+
+
 def _cells(rotated: np.ndarray, block: int, grid: int, limit: float) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
     """(block, visitor, rows, keys): each vector's cell in each block, and the later neighbour cells that hold anything within the block's budget."""
     size = rotated.shape[1]
@@ -176,7 +188,34 @@ def cell_links(b: int, part: np.ndarray, visitor: np.ndarray, weight: np.ndarray
     return links, root
 
 
-def _join(size: int, block: int, limit: float, threshold: float):
+def part_links(part: np.ndarray, weight: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`cell_links` of all pairs of a part, or of those across two: a cosine within the margin of the threshold is computed again in doubles."""
+    unit, n, same = _unit(x), len(x), not part.any()
+    left = np.flatnonzero(part == 0)
+    right = left if same else np.flatnonzero(part == 1)
+    a, b = unit[left].astype(np.float32), unit[right].astype(np.float32)
+    links, root = np.zeros(n, np.int64), np.arange(n)
+    for lo in range(0, len(left), _TILE):
+        for at in range(lo if same else 0, len(right), _WIDE):
+            s = a[lo : lo + _TILE] @ b[at : at + _WIDE].T
+            i, j = np.nonzero(s >= threshold - _MARGIN)
+            if same:
+                later = at + j > lo + i
+                i, j = i[later], j[later]
+            c, d, hit = left[lo + i], right[at + j], s[i, j] >= threshold + _MARGIN
+            open_ = np.flatnonzero(~hit)
+            for k in range(0, len(open_), 1 << 16):
+                few = open_[k : k + (1 << 16)]
+                hit[few] = (unit[c[few]] * unit[d[few]]).sum(axis=1) >= threshold
+            c, d = c[hit], d[hit]
+            if len(c):
+                links += np.bincount(c, weight[d], minlength=n).astype(np.int64) + np.bincount(d, weight[c], minlength=n).astype(np.int64)
+                root = unite(root, c, d)
+    return links, root
+
+
+def _join(size: int, block: int, limit: float, threshold: float, whole: bool = False):
+    """``whole``: all pairs of the parts meet, without blocks."""
     turn = rotation(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +242,7 @@ def _join(size: int, block: int, limit: float, threshold: float):
             for b in np.unique(blocks):  # blocks whose cells' keys collide stay apart
                 at = np.flatnonzero(blocks == b)
                 across = (part[at] == high).astype(np.int8) if low < high else np.zeros(len(at), np.int8)
-                links, root = cell_links(int(b), across, visitor[at], weight[at], x[at], turn, block, limit, threshold)
+                links, root = part_links(across, weight[at], x[at], threshold) if whole else cell_links(int(b), across, visitor[at], weight[at], x[at], turn, block, limit, threshold)
                 has = np.flatnonzero(links)
                 if len(has):
                     yield pa.RecordBatch.from_arrays([pa.array(node[at][has]), pa.array(node[at][root[has]]), pa.array(links[has])], names=["node", "root", "links"])
@@ -218,7 +257,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     group of its own.  Exact: each link is found by at least one block, and every
     cosine is computed from the given numbers.  Copies are compared once and count
     with their number.  A cell of more than ``part_rows`` rows meets in pairs of
-    parts, so no task holds more than two of them.
+    parts, so no task holds more than two of them.  Under a threshold at which the
+    blocks would find more than ``MOST_FOUND`` of all pairs, all pairs meet so.
 
     * Null ids and null vectors are left out, as are vectors with a null, NaN or
       infinite entry, those of length zero and those without direction.
@@ -242,23 +282,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     size, limit = int(sizes["n"]), 2 - 2 * threshold
     entries = rows.filter(F.size("vector") == size).distinct()
     nodes = materialize(entries.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()), "vectors")
-    grid = grid_size(nodes.count(), size, block, limit, part_rows)
+    n, whole = nodes.count(), found_share(size, block, limit) > MOST_FOUND
     slim = nodes.select("node", "weight", "vector").mapInArrow(_packed, "node long, weight long, vector binary")
-    spread = lambda count, schema: slim.mapInArrow(_spread(size, block, grid, limit, count), schema)
-    parts = F.ceil(F.col("n") / part_rows).cast("int")
-    hot = materialize(spread(True, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > part_rows).select("key", parts.alias("parts")), "hot_cells")
-    cells = spread(False, "key long, block short, visitor boolean, node long, weight long, vector binary").join(hot, "key", "left")
-    cells = cells.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    hot = None
+    if whole:
+        cores = vectors.sparkSession.sparkContext.defaultParallelism
+        parts = max(-(-n // (2 * part_rows)), min(ceil(sqrt(8 * cores)), -(-n // _TILE)))
+        cells = slim.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("short").alias("block"), F.lit(False).alias("visitor"), "*", F.lit(parts).alias("parts"))
+    else:
+        grid = grid_size(n, size, block, limit, part_rows)
+        spread = lambda count, schema: slim.mapInArrow(_spread(size, block, grid, limit, count), schema)
+        parts = F.ceil(F.col("n") / part_rows).cast("int")
+        hot = materialize(spread(True, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > part_rows).select("key", parts.alias("parts")), "hot_cells")
+        cells = spread(False, "key long, block short, visitor boolean, node long, weight long, vector binary").join(hot, "key", "left")
+        cells = cells.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "block", "visitor", "node", "weight", "vector")
     order = ("key", "low", "high")
-    found = materialize(met.repartition(*order).sortWithinPartitions(*order).mapInArrow(_join(size, block, limit, threshold), "node long, root long, links long"), "links")
+    placed = met.repartition(parts * (parts + 1), *order) if whole else met.repartition(*order)
+    found = materialize(placed.sortWithinPartitions(*order).mapInArrow(_join(size, block, limit, threshold, whole), "node long, root long, links long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     least = groups.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("class"))
     side = groups.join(least, "root").join(links, "node").select("node", "class", "links")
     classed = nodes.join(side, "node", "left").select("vector", F.coalesce("class", "least").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = entries.join(classed, "vector").select(F.col("id").alias("vec_id"), "class_id", "n_links")
-    drop_table(hot)
+    if hot is not None:
+        drop_table(hot)
     return out
 
 

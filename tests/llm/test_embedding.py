@@ -78,3 +78,17 @@ def test_text_ids_and_clashing_columns(spark):
     rows = [("u-2", [1.0] * 8), ("u-1", [1.0] * 8), ("v", [1.0, -1.0] * 4)]
     df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").selectExpr("*", "1 as node", "2 as key", "3 as class_id", "4 as id", "5 as vector")
     assert got(df) == [("u-1", "u-1", 1), ("u-2", "u-1", 1), ("v", "v", 0)]
+
+
+@pytest.mark.parametrize("part", [32, 32_768])
+def test_a_low_threshold_meets_all_pairs_without_cells(spark, monkeypatch, part):
+    def fail(*_):
+        raise AssertionError("cells of a threshold that prunes little")
+
+    assert embedding.found_share(64, 8, 2 - 2 * 0.95) < embedding.MOST_FOUND < embedding.found_share(64, 8, 2 - 2 * 0.42)
+    monkeypatch.setattr(embedding, "_spread", fail)
+    rows = rows_of(clustered(300, 250, 0.4, 4))
+    rows += [(300 + k, v) for k, (_, v) in enumerate(rows[:5])]
+    want = brute({(i, tuple(v)) for i, v in rows}, 0.42)
+    assert any(k for _, _, k in want) and any(not k for _, _, k in want)
+    assert got(spark.createDataFrame(rows, SCHEMA), 0.42, part_rows=part) == want
