@@ -57,6 +57,16 @@ def test_rounding_by_numbers_is_rounding_by_texts(spark):
     assert df.filter((pairs.rounded(F.col("x"), 6) != F.round("x", 6)) | (pairs.rounded(F.col("y"), 6) != F.round("y", 6)) | (pairs.rounded(F.col("y"), 9) != F.round("y", 9))).isEmpty()
 
 
+def test_a_pool_is_looked_at_once_for_a_list(tracks, small, monkeypatch):
+    made, met, meet = pairs.pool_scores(tracks), [], blocks.meet
+    monkeypatch.setattr(blocks, "meet", lambda *a: met.append(1) or meet(*a))
+    L.generate_lists(tracks, made, 45, width=3, candidates=3)
+    assert met == [1]
+    found = made.leaders(6).select("from_idx", F.posexplode("best").alias("k", "b"), "quality").cache()
+    assert rows(found.select("from_idx", "b.to", (-F.col("b.minus")).alias("score"))) == rows(made.top(6).select("from_idx", "to_idx", "score"))
+    assert rows(found.select("from_idx", F.round("quality", 9)).distinct()) == rows(made.quality().select("from_idx", F.round("quality", 9)))
+
+
 def paths_of(spark, tracks):
     """Two lists, one of which repeats tracks, also of the other."""
     ids = sorted(r[0] for r in tracks.select("track_idx").collect())
