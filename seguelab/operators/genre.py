@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.features import add_log_tempo, add_moods, add_robust, feature_sql
 from ..functions.values import clip, has
@@ -98,15 +101,28 @@ def add_field_votes(df: DataFrame, out: str = "vote") -> DataFrame:
     return wide.withColumn(out, picked).drop("_r", *(f"_m{k}" for k in range(len(fields))))
 
 
+def _library_exp(x: pd.Series) -> pd.Series:
+    """exp of the numbers of arrays by the C library.
+
+    SQL engines take theirs from it; Spark's own differs from it in the last bit at
+    times, and so keeps scores apart that are equal there.
+    """
+    return x.map(lambda v: [math.exp(a) for a in v])
+
+
 def nearest_prototype(df: DataFrame) -> Column:
     """struct(genre, confidence) of the prototype with the least mean difference over the nine features."""
     value = {n: _clip_sql(f"({feature_sql(df, 'tempo')} - 60D) / 120D") if n == "tempo_norm" else feature_sql(df, n) for n in PROTOTYPE_FEATURES}
-    scores = []
-    for g, p in PROTOTYPES.items():
+    powers = []
+    for p in PROTOTYPES.values():
         total = " + ".join(f"abs({value[n]} - {x}D)" for n, x in zip(PROTOTYPE_FEATURES, p, strict=True))
-        scores.append((g, f"exp(-({total}) / {float(len(p))}D)"))
-    found = _clip_sql("0.30D + 0.45D * -r[0].s + 0.35D * (-r[0].s + r[1].s)", 0.90)
-    return F.expr(_best_two(scores, f"struct(r[0].n as genre, {found} as confidence)"))
+        powers.append(f"-({total}) / {float(len(p))}D")
+    names = F.array(*map(F.lit, PROTOTYPES))
+    scores = F.pandas_udf(_library_exp, T.ArrayType(T.DoubleType()))(F.expr(f"array({', '.join(powers)})"))
+    ranked = F.array_sort(F.transform(scores, lambda s, k: F.struct((-s).alias("s"), k.alias("k"))))
+    best, second = (lambda r: -r[0]["s"]), (lambda r: -r[1]["s"])
+    found = lambda r: clip(F.lit(0.30) + F.lit(0.45) * best(r) + F.lit(0.35) * (best(r) - second(r)), 0, 0.90)
+    return F.transform(F.array(ranked), lambda r: F.struct(names[r[0]["k"]].alias("genre"), found(r).alias("confidence")))[0]
 
 
 def add_style_clusters(df: DataFrame, clusters: int = 8, seed: int = 42, index: str = "track_idx") -> DataFrame:

@@ -1,5 +1,6 @@
 """Categories, clusters, track lists of metadata and greedy matching."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from seguelab.functions import text as X
 from seguelab.operators import genre as G
 from seguelab.operators import relations as R
 from seguelab.operators import tracklists as T
+from seguelab.plans import scores
 
 
 def test_genre_text_and_keywords(spark):
@@ -80,3 +82,14 @@ def test_time_codes_and_errors(spark):
         spark.createDataFrame([("abc",)], "t string").select(X.seconds(F.col("t"))).collect()
     strict = spark.createDataFrame([("61:00",), ("10:61",), ("59:59",), ("x",)], "t string").select(X.strict_seconds(F.col("t"))).collect()
     assert [r[0] for r in strict] == [None, None, 3599, None]
+
+
+def test_prototypes_that_sql_holds_equal(spark, tmp_path):
+    """The sums of two prototypes' differences may be one bit apart where exp makes them equal: the earlier counts, as in SQL."""
+    rows = spark.createDataFrame([(25353, 20, 3908.82), (38055, 15, 5788.79)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    query, sql = scores.QUERIES["genre_prototype"]
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in query(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(sql).fetchall()) and got[0][1] == "rock"
