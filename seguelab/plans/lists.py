@@ -87,7 +87,8 @@ round(avg((transition_rating = 'excellent')::INTEGER::DOUBLE), 6) as excellent_s
 
 
 def quality_summary(spark, sf_dir):
-    s = L.quality_summary(_report(spark, sf_dir))
+    """Of the report's steps, whose scores alone it takes: no ranks, for which all pairs would be scored."""
+    s = L.quality_summary(L.scored_steps(_paths(spark, sf_dir), _edges(spark, sf_dir)), "own")
     return s.select(*(F.round(c, 6).alias(c) for c in s.columns))
 
 

@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+import duckdb
+
+from seguelab.operators import blocks
 from seguelab.plans import lists
 
 NATIONS = {i: i * i % 3 for i in range(11)}
@@ -21,3 +24,15 @@ def test_lists_hold_the_whole_pool(spark, monkeypatch):
     assert sorted(r.track_idx for r in path) == list(range(11)) and sorted(r.position for r in path) == list(range(1, 12))
     several = lists.multi_playlist(spark, "").collect()
     assert set(Counter(r.playlist_name for r in several).values()) == {3} and len({r.track_idx for r in several}) == 9
+
+
+def test_the_quality_of_lists_takes_their_steps_alone(spark, monkeypatch, tmp_path):
+    """As in SQL, without a look at all pairs."""
+    monkeypatch.setattr(blocks, "meet", None)
+    rows = [(i, i % 2, float(i * 37 % 11)) for i in range(7)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    query, sql = lists.QUERIES["quality_summary"]
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    want = con.execute(sql).fetchall()
+    assert [tuple(r) for r in query(spark, str(tmp_path)).collect()] == want and want[0][0] > 0
