@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.values import ANALYSED
 from ..operators import caches as C
+from ..operators.pairs import spread
 from ..operators.tracklists import compact_pairs
 from . import texts
 from .pool import MOOD_INPUTS, moods_sql
@@ -79,7 +80,7 @@ select track_idx, tempo, tempo as outro_tempo from r"""
 
 def resolve_cached(spark, sf_dir):
     """Tracks of which the cache answers a quarter, another quarter under other settings, and some lead to no query."""
-    asked = texts._asked(spark, sf_dir)
+    asked = spread(texts._asked(spark, sf_dir), table(spark, sf_dir, "part").count())
     n = F.col("video_id").cast("long")
     asked = asked.withColumn("track_raw", F.when(n % 50 == 7, F.lit(" -- ")).otherwise(F.col("track_raw")))
     sign = C.resolution_signature(X.plain_query(X.track_text(F.col("track_raw"))))

@@ -1,6 +1,8 @@
 """A text that many tracks share meets its candidates once; a row's own video is never its choice."""
 
+from seguelab.operators import caches as C
 from seguelab.operators import tracklists as T
+from seguelab.plans import chains
 
 CANDIDATES = "query string, rank int, id string, title string, uploader string, duration int, availability string, url string"
 
@@ -14,3 +16,11 @@ def test_a_text_is_judged_once(spark, monkeypatch):
     assert seen == [3] and len(got) == 23
     assert all(got[f"v{i}", i % 3] == ("resolved", "v2" if i == 1 else "v1") for i in range(20))
     assert [got[k] for k in ((None, 1), ("v1", 9), ("v1", 10))] == [("no_match", None)] * 3
+
+
+def test_tracks_of_one_file_are_spread(spark, monkeypatch, tmp_path):
+    """What a track leads to is worked out in several tasks, though its table is one small file."""
+    spark.range(3000).selectExpr("id as p_partkey", "concat('part ', id % 7) as p_name", "'b' as p_brand", "1 as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    seen, resolve = [], C.resolve_tracks
+    monkeypatch.setattr(C, "resolve_tracks", lambda rows, *a: seen.append(rows.rdd.getNumPartitions()) or resolve(rows, *a))
+    assert chains.resolve_cached(spark, str(tmp_path)).count() == 3000 and seen[0] > 1
